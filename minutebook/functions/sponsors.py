@@ -63,7 +63,7 @@ def split_names(text: Column, compat: bool = False) -> Column:
         return ((F.length(n) >= 3) & ~F.upper(n).rlike(stop)
                 & (F.contains(n, F.lit(" ")) | n.rlike(r"[A-Z]\.\s*[A-Z]\.")))
 
-    parts = F.transform(F.split(plain, r"(?i)\s+AND\s+|,", -1), F.trim)
+    parts = F.transform(F.split(plain, r"(?i)\s+AND\s+|,", -1), lambda n: F.trim(n))
     return F.transform(F.filter(parts, is_name), name_case)
 
 

@@ -121,6 +121,14 @@ def _slots(atoms) -> list[tuple[str, bool]]:
         (w, a.prefix and i == len(a.words) - 1) for a in atoms for i, w in enumerate(a.words)))
 
 
+def _shifted(positions: Column, step: int) -> Column:
+    return F.transform(positions, lambda p: p - step)
+
+
+def _spans(positions: str, words: int) -> Column:
+    return F.transform(positions, lambda p: F.struct(p.alias("pos"), F.lit(words).alias("len")))
+
+
 def match(postings: DataFrame, query: str | list[Clause]) -> DataFrame:
     """Matching documents: ``doc_id``, occurrences per atom, marked positions.
 
@@ -154,7 +162,7 @@ def match(postings: DataFrame, query: str | list[Clause]) -> DataFrame:
                 for i, w in enumerate(atom.words)]
         found = cols[0]
         for step, c in enumerate(cols[1:], 1):
-            found = F.array_intersect(found, F.transform(c, lambda p, s=step: p - s))
+            found = F.array_intersect(found, _shifted(c, step))
         return found
 
     per_doc = per_doc.select("doc_id", *[starts(a).alias(f"_a{i}") for i, a in enumerate(atoms)])
@@ -168,7 +176,7 @@ def match(postings: DataFrame, query: str | list[Clause]) -> DataFrame:
 
     asked = {a for c in clauses for a in c.required}
     marks = F.flatten(F.array(*[
-        F.transform(f"_a{i}", lambda p, n=len(a.words): F.struct(p.alias("pos"), F.lit(n).alias("len")))
+        _spans(f"_a{i}", len(a.words))
         for i, a in enumerate(atoms) if a in asked]))
     return per_doc.select(
         "doc_id",

@@ -1,6 +1,6 @@
 """All bindings; importing this module registers them."""
 
-from minutebook.plans import text_queries  # noqa: F401
+from minutebook.plans import rollup_queries, search_queries, source_queries, text_queries  # noqa: F401
 from minutebook.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -24,8 +24,8 @@ def clean_corpus(df: DataFrame, text: str = "text") -> DataFrame:
 
 def read_text_corpus(spark: SparkSession, path: str) -> DataFrame:
     """One row per text file: file stem, text, character count."""
-    raw = (spark.read.option("wholetext", True).option("pathGlobFilter", "*.txt")
-           .option("recursiveFileLookup", True).text(path))
+    raw = (spark.read.option("pathGlobFilter", "*.txt").option("recursiveFileLookup", True)
+           .text(path, wholetext=True))
     stem = F.regexp_replace(F.col("_metadata.file_name"), r"\.txt$", "")
     return clean_corpus(raw.select(stem.alias("stem"), F.col("value").alias("text")))
 
@@ -40,6 +40,11 @@ def read_details(spark: SparkSession, path: str) -> DataFrame:
     """Detail pages in either layout: ``content`` or ``results[0].content``."""
     raw = (spark.read.schema(schemas.DETAIL_FILE).option("multiLine", True)
            .option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(path))
+    return detail_content(raw)
+
+
+def detail_content(raw: DataFrame) -> DataFrame:
+    """(id, content) of detail records; the id may have to come from the file name."""
     stem = F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "")
     first = F.get("results", F.lit(0))
     return raw.select(

@@ -11,10 +11,11 @@ from minutebook import schemas
 CORRUPT = "_corrupt"
 
 
-def _json(spark: SparkSession, path, schema: T.StructType) -> DataFrame:
+def _json(spark: SparkSession, path, schema: T.StructType, lines: bool = False) -> DataFrame:
+    """Records of JSON files: one document per file, or one per line with ``lines``."""
     with_corrupt = T.StructType(schema.fields + [T.StructField(CORRUPT, T.StringType())])
     return (spark.read.schema(with_corrupt)
-            .option("multiLine", True)
+            .option("multiLine", not lines)
             .option("mode", "PERMISSIVE")
             .option("columnNameOfCorruptRecord", CORRUPT)
             .option("recursiveFileLookup", True)
@@ -23,7 +24,7 @@ def _json(spark: SparkSession, path, schema: T.StructType) -> DataFrame:
 
 
 def read_meetings(spark: SparkSession, path: str, date_from: str | None = None,
-                  date_to: str | None = None) -> DataFrame:
+                  date_to: str | None = None, lines: bool = False) -> DataFrame:
     """Items of all meeting files with their date and position.
 
     Files lie at ``YYYY/YYYY-MM-DD.json``.  With both bounds given only the
@@ -33,7 +34,7 @@ def read_meetings(spark: SparkSession, path: str, date_from: str | None = None,
     if date_from and date_to:
         years = ",".join(str(y) for y in range(int(date_from[:4]), int(date_to[:4]) + 1))
         path = f"{path.rstrip('/')}/{{{years}}}"
-    raw = _json(spark, path, schemas.MEETING).where(F.col(CORRUPT).isNull())
+    raw = _json(spark, path, schemas.MEETING, lines).where(F.col(CORRUPT).isNull())
     stem = F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "")
     df = raw.select(F.coalesce("date", stem).alias("date"), "data")
     if date_from:
@@ -44,9 +45,9 @@ def read_meetings(spark: SparkSession, path: str, date_from: str | None = None,
             .select("date", "pos", "item.*"))
 
 
-def read_meeting_dates(spark: SparkSession, path: str) -> DataFrame:
+def read_meeting_dates(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """One row per meeting date with its item count, empty meetings included."""
-    raw = _json(spark, path, schemas.MEETING).where(F.col(CORRUPT).isNull())
+    raw = _json(spark, path, schemas.MEETING, lines).where(F.col(CORRUPT).isNull())
     stem = F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "")
     return (raw.groupBy(F.coalesce("date", stem).alias("date"))
             .agg(F.sum(F.coalesce(F.array_size("data"), F.lit(0))).alias("items")))
@@ -97,15 +98,15 @@ def read_items(spark: SparkSession, path: str, year_from: int | None = None,
     return df
 
 
-def read_roster(spark: SparkSession, path: str) -> DataFrame:
+def read_roster(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """One row per member with the array of terms."""
-    return (_json(spark, path, schemas.ROSTER)
+    return (_json(spark, path, schemas.ROSTER, lines)
             .select(F.inline("councilmembers")))
 
 
-def read_terms(spark: SparkSession, path: str) -> DataFrame:
+def read_terms(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """One row per term of office."""
-    return roster_terms(read_roster(spark, path))
+    return roster_terms(read_roster(spark, path, lines))
 
 
 def roster_terms(roster: DataFrame) -> DataFrame:
@@ -114,8 +115,8 @@ def roster_terms(roster: DataFrame) -> DataFrame:
                     F.col("term.end").alias("end_date"), F.col("term.office").alias("office")))
 
 
-def read_committees(spark: SparkSession, path: str) -> DataFrame:
-    return (_json(spark, path, schemas.COMMITTEES).select(F.inline("committees")))
+def read_committees(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    return (_json(spark, path, schemas.COMMITTEES, lines).select(F.inline("committees")))
 
 
 def replace_committees(committees: DataFrame, path: str) -> None:
