@@ -137,7 +137,7 @@ def toc_merge(bookmarks: DataFrame, toc: DataFrame, keys=("package_id", "elms_id
     Of repeated entries the last row of the contents counts.
     """
     fields = ["leg_id", "sponsor", "description", "leg_type", "committee"]
-    last = toc.groupBy(*keys).agg(F.max_by(F.struct(*fields), "row").alias("_t"))
+    last = toc.groupBy(*keys).agg(F.max(F.struct("row", *fields)).alias("_t"))
     df = bookmarks.join(last, list(keys), "left")
     return df.withColumns({f: F.coalesce(F.col(f"_t.{f}"), F.lit("")) for f in fields}).drop("_t")
 

@@ -26,7 +26,12 @@ def meeting_stream(spark: SparkSession, path: str, files_per_batch: int = 1000)
     raw = (spark.readStream.schema(schemas.MEETING).option("multiLine", True)
            .option("recursiveFileLookup", True).option("maxFilesPerTrigger", files_per_batch)
            .json(path))
-    return raw.select("date", F.posexplode("data").alias("pos", "item")).select("date", "pos", "item.*")
+    return exploded(raw)
+
+
+def exploded(meetings: DataFrame) -> DataFrame:
+    return (meetings.select("date", F.posexplode("data").alias("pos", "item"))
+            .select("date", "pos", "item.*"))
 
 
 def ingest_stream(spark: SparkSession, source: str, target: str, checkpoint: str,
