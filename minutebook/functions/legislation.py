@@ -32,6 +32,7 @@ ACTION_KEYWORDS = (
 CAPS = r"[A-Z][A-Z\s,;():/\-]*?"
 VOTE_ENDING = (r"\s+(" + CAPS + r"(?:ROLL CALL VOTE|VOTE)[^.]*?"
                r"(?:\d+\s*YEAS?;?\s*\d+\s*NAYS?|Y\/\d+N|\(\d+Y\/\d+N\))[^.]*?)$")
+ACTION_TAIL = r"(?d)(?<![A-Z\s,;():/\-])[A-Z\s,;():/\-]++$"
 CONSENT_ENDING = r"\s+(" + CAPS + r"(?:ON CONSENT|WITHOUT OBJECTION)[^.]*?)$"
 
 ADVERSED_ENDINGS = (
@@ -91,15 +92,19 @@ def is_charter_amendment(description: Column) -> Column:
     return F.coalesce(F.contains(F.upper(description), F.lit(CHARTER_PHRASE)), F.lit(False))
 
 
-def _keyword_ending(text: Column) -> Column:
-    """Whole match of the first keyword whose tail reaches the end of the text."""
-    def tail(keyword: str) -> Column:
-        found = F.regexp_extract(text, rf"(?d)\s+({keyword}(?:\s+{CAPS})?)$", 0)
-        short = F.length(strip(found)) <= len(keyword) + 50
-        return F.when((found != "") & short, found)
-    # One pass rules most texts out before the keywords are tried in order.
-    some = text.rlike(rf"(?d)\s({any_of(ACTION_KEYWORDS)})(\s+[A-Z][A-Z\s,;():/\-]*)?$")
-    return F.when(some, F.coalesce(*[tail(k) for k in ACTION_KEYWORDS]))
+def _keyword_ending(tail: Column) -> Column:
+    """Whole match of the first keyword that starts an ending within the tail.
+
+    The tail is the closing stretch of capitals, blanks and marks; no ending
+    can begin before it.  Patterns are tried only for keywords it contains.
+    """
+    def ending(keyword: str) -> Column:
+        found = F.regexp_extract(tail, rf"(?d)\s+({keyword}(?:\s+{CAPS})?)$", 0)
+        # Bound to a lambda variable so that the pattern runs once.
+        kept = F.transform(F.array(found), lambda f: F.when(
+            (f != "") & (F.length(strip(f)) <= len(keyword) + 50), f))
+        return F.when(F.contains(tail, F.lit(keyword)), F.get(kept, F.lit(0)))
+    return F.coalesce(*[ending(k) for k in ACTION_KEYWORDS])
 
 
 def extract_final_action(df: DataFrame, description: str = "description",
@@ -125,7 +130,8 @@ def extract_final_action(df: DataFrame, description: str = "description",
                          ACTION_KEYWORDS, F)
     return (
         df.withColumn("_sure", F.coalesce(voted, agreed))
-        .withColumn("_end", F.coalesce(F.col("_sure"), _keyword_ending(body)))
+        .withColumn("_tail", F.when(F.col("_sure").isNull(), F.regexp_extract(body, ACTION_TAIL, 0)))
+        .withColumn("_end", F.coalesce(F.col("_sure"), _keyword_ending(F.col("_tail"))))
         .withColumn("_act", strip(F.col("_end")))
         .withColumn(prefix + "cleaned", F.when(
             F.col("_end").isNotNull(),
@@ -134,7 +140,7 @@ def extract_final_action(df: DataFrame, description: str = "description",
         .withColumn(prefix + "needs_review", F.when(F.col("_sure").isNotNull(), False)
                     .when(F.col("_act").isNotNull(), F.length("_act") <= keyword_len + 5)
                     .otherwise(True))
-        .drop("_sure", "_end", "_act")
+        .drop("_sure", "_tail", "_end", "_act")
     )
 
 

@@ -15,6 +15,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from minutebook.operators.tables import materialize
+
 FIELD_GAP = 1 << 32
 K1, B = 1.2, 0.75          # BM25 (Robertson and Zaragoza, 2009)
 MIN_IDF = 1e-6             # floor for terms found in most documents
@@ -35,7 +37,9 @@ ACCENTS = _accent_table()
 
 
 def fold(c: Column) -> Column:
-    return F.translate(F.lower(c), *ACCENTS)
+    """Lower case without accents; plain ASCII texts skip the accent table."""
+    low = F.lower(c)
+    return F.when(c.rlike(r"[^\x00-\x7F]"), F.translate(low, *ACCENTS)).otherwise(low)
 
 
 def tokens(c: Column) -> Column:
@@ -45,13 +49,30 @@ def tokens(c: Column) -> Column:
 # --- index ------------------------------------------------------------------
 
 def build_postings(docs: DataFrame, doc_id: str, fields: list[str]) -> DataFrame:
-    parts = F.array(*[F.struct(F.lit(i * FIELD_GAP).alias("base"), tokens(F.col(f)).alias("words"))
-                      for i, f in enumerate(fields)])
-    return (docs.select(F.col(doc_id).alias("doc_id"), F.explode(parts).alias("p"))
-            .select("doc_id", "p.base", F.posexplode("p.words").alias("pos", "term"))
-            .groupBy("term", "doc_id")
-            .agg(F.sort_array(F.collect_list(F.col("base") + F.col("pos"))).alias("positions"))
-            .select("term", "doc_id", F.size("positions").alias("tf"), "positions"))
+    """Postings of all documents, without a shuffle.
+
+    A document's words are sorted by term inside its row and cut where the term
+    changes; the words of a corpus never travel, only finished postings do when
+    they are stored.
+    """
+    def placed(i: int, f: str) -> Column:
+        return F.transform(tokens(F.col(f)), lambda t, k: F.struct(
+            t.alias("t"), (k.cast("long") + F.lit(i * FIELD_GAP)).alias("p")))
+
+    empty = F.array().cast("array<struct<t:string,p:bigint>>")
+    words = F.concat(*[F.coalesce(placed(i, f), empty) for i, f in enumerate(fields)])
+    w, cuts = F.col("_w"), F.col("_cuts")
+    spans = (
+        docs.select(F.col(doc_id).alias("doc_id"), F.sort_array(words).alias("_w"))
+        .withColumn("_cuts", F.when(F.size("_w") > 0, F.filter(
+            F.sequence(F.lit(0), F.size("_w") - 1),
+            lambda i: (i == 0) | (F.get(w, i)["t"] != F.get(w, i - 1)["t"])))))
+    runs = F.transform(cuts, lambda c, j: F.struct(
+        F.get(w, c)["t"].alias("term"),
+        F.transform(F.slice(w, c + 1, F.coalesce(F.get(cuts, j + 1), F.size(w)) - c),
+                    lambda x: x["p"]).alias("positions")))
+    return (spans.select("doc_id", F.explode(runs).alias("r"))
+            .select("r.term", "doc_id", F.size("r.positions").alias("tf"), "r.positions"))
 
 
 def document_lengths(docs: DataFrame, doc_id: str, fields: list[str]) -> DataFrame:
@@ -63,14 +84,20 @@ def document_lengths(docs: DataFrame, doc_id: str, fields: list[str]) -> DataFra
 def write_index(postings: DataFrame, path: str, partitions: int | None = None) -> None:
     """Store postings ordered by term.
 
-    Files cover ranges of (term, document): a lookup by term or by prefix skips
-    files and row groups on their minimum and maximum, and a term found in most
-    documents is spread over several files instead of filling one bucket.
+    By default every task writes the postings it built as one sorted file; the
+    build has no shuffle, and a lookup by term or prefix skips row groups and
+    pages on their minimum and maximum.  With ``partitions`` the files are then
+    rewritten as ranges of (term, document), which lets lookups skip whole files;
+    a term found in most documents is spread over several of them.
     """
     keys = ["term", "doc_id"]
-    ranged = postings.repartitionByRange(partitions, *keys) if partitions \
-        else postings.repartitionByRange(*keys)
-    ranged.sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
+    if not partitions:
+        postings.sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
+        return
+    # Ranges are sampled; sampling the stored files avoids building postings twice.
+    built = materialize(postings, "postings")
+    (built.repartitionByRange(partitions, *keys).sortWithinPartitions(*keys)
+     .write.mode("overwrite").parquet(path))
 
 
 # --- query ------------------------------------------------------------------
