@@ -67,7 +67,7 @@ def display_case(c: Column) -> Column:
                 named = named | (before(i, "hon", step) & open_run)
             opens = (i == 0) | before(i, "end", 1)
             return (F.when(w["kind"] == 2, F.upper(w["w"]))
-                    .when((w["kind"] == 1) | named | opens, _first_upper(w["w"]))
+                    .when((w["kind"] == 1) | opens | named, _first_upper(w["w"]))
                     .otherwise(w["w"]))
         return F.array_join(F.transform(seq, one), " ")
 

@@ -95,6 +95,11 @@ def donation_direction(description: Column, compat: bool = False) -> Column:
         .when(made, "made")))
 
 
+def _bound(c: Column, then) -> Column:
+    """``then(c)`` with ``c`` evaluated once, however often it is used."""
+    return F.get(F.transform(F.array(c), then), F.lit(0))
+
+
 def _party(raw: Column) -> Column:
     tail_off = F.regexp_replace(strip(raw), r"[,. ]+$", "")
     return F.regexp_replace(tail_off, rx(ARTICLE, True), "")
@@ -102,14 +107,12 @@ def _party(raw: Column) -> Column:
 
 def donor(description: Column) -> Column:
     raw = F.coalesce(*[extract(description, rx(p, True)) for p in DONOR])
-    name = _party(raw)
-    return F.when(F.length(name) > 2, title_case(name))
+    return _bound(_party(raw), lambda name: F.when(F.length(name) > 2, title_case(name)))
 
 
 def recipient(description: Column) -> Column:
-    name = _party(extract(description, rx(RECIPIENT, True)))
-    usable = (F.length(name) >= 3) & ~F.upper(name).isin(*NOT_RECIPIENTS)
-    return F.when(usable, title_case(name))
+    return _bound(_party(extract(description, rx(RECIPIENT, True))), lambda name: F.when(
+        (F.length(name) >= 3) & ~F.upper(name).isin(*NOT_RECIPIENTS), title_case(name)))
 
 
 def purpose(description: Column) -> Column:
@@ -120,8 +123,8 @@ def purpose(description: Column) -> Column:
 def item_donated(description: Column) -> Column:
     given = F.regexp_replace(strip(extract(description, rx(ITEM_OF, True))), r"[;,. ]+$", "")
     item = F.coalesce(given, strip(extract(description, rx(ITEM_DONATE, True))))
-    thing = ~item.rlike(rx(MONEY_ITEM, True)) & (F.length(item) > 2)
-    return F.when(thing, title_case(item))
+    return _bound(item, lambda i: F.when(
+        ~i.rlike(rx(MONEY_ITEM, True)) & (F.length(i) > 2), title_case(i)))
 
 
 def donation_type(description: Column, item: Column) -> Column:

@@ -11,6 +11,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from minutebook.functions import legislation as leg
+from minutebook.operators.tables import materialize
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -162,27 +163,43 @@ def compose(sql: str) -> str:
     return text
 
 
-# Inputs whose rows get costly text work.
-TEXT_INPUTS = ("documents", "pages", "legis_items", "fx_base")
+# Inputs of costly text work, and derived inputs that many queries share.
+TEXT_TABLES = ("documents", "pages")
+SHARED = ("fx_base", "legis_items", "docs_variants", "item_sponsors")
+_READY: dict[tuple[str, str, str], DataFrame] = {}
 
 
-def spread(df: DataFrame, name: str) -> DataFrame:
-    """The small test files hold one row group each and small joins end in one
-    partition, which would leave all text work to one core, so the rows are
-    spread first.  Tables of many files are used as they lie, without a shuffle."""
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    """Write an input to the scratch folder once.
+
+    The small test files hold one row group each, which would leave all text
+    work to one core; they are spread over as many files as there are cores.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if name in TEXT_INPUTS and len(df.inputFiles()) < cores:
-        return df.repartition(cores)
-    return df
+    return materialize(df.repartition(cores) if len(df.inputFiles()) < cores else df, name)
+
+
+def _ready(spark: SparkSession, sf: str, name: str, make) -> DataFrame:
+    """Inputs are resolved, and the shared ones derived, once per application."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _READY:
+        df = make()
+        few = name in TEXT_TABLES and len(df.inputFiles()) < spark.sparkContext.defaultParallelism
+        _READY[key] = _stored(df, name) if name in SHARED or few else df
+    return _READY[key]
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf}/{name}.parquet"), name)
+    return _ready(spark, sf, name, lambda: spark.read.parquet(f"{sf}/{name}.parquet"))
 
 
 def fixture(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return _ready(spark, sf, name, lambda: _derived(spark, sf, name))
+
+
+def _derived(spark: SparkSession, sf: str, name: str) -> DataFrame:
     names = _with(FIXTURES[name], {k: v for k, v in FIXTURES.items() if k != name})
     head = ",\n".join(f"{n} AS ({FIXTURES[n]})" for n in names)
     sql = f"WITH {head}\n{FIXTURES[name]}" if head else FIXTURES[name]
     used = [t for t in TABLES if "{" + t + "}" in sql]
-    return spread(spark.sql(sql, **{t: table(spark, sf, t) for t in used}), name)
+    return spark.sql(sql, **{t: table(spark, sf, t) for t in used})
