@@ -94,7 +94,7 @@ def test_display_case(values):
     got = values(display.display_case,
                  "MR. JOHN A. DOE OF MARTA FILED A CLAIM. IT WAS PAID BY APD, INC.", "Mixed Case stays", "12", None,
                  "A TALE OF DR. X. THE END OF ALL WORDS HERE")
-    assert got[0] == "Mr. John A. Doe Of MARTA Filed a claim. It was paid by APD, INC."
+    assert got[0] == "Mr. John A. Doe Of MARTA filed A claim. It was paid by APD, INC."
     assert got[1:4] == ["Mixed Case stays", "12", None]
     assert got[4] == "A tale of Dr. X. The End Of All words here"
 
