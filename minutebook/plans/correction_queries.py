@@ -38,9 +38,9 @@ def _(spark, sf):
                       F.col("sponsorConfidence").alias("confidence"), F.col("finalAction").alias("action"))
 
 
-@query("m1_unmatched_patches", "SELECT id + 1 AS id FROM patches WHERE id + 1 NOT IN (SELECT id FROM legis_items)")
+@query("m1_unmatched_patches", "SELECT id * 3 AS id FROM patches WHERE id * 3 NOT IN (SELECT id FROM legis_items)")
 def _(spark, sf):
-    shifted = fixture(spark, sf, "patches").withColumn("id", F.col("id") + 1)
+    shifted = fixture(spark, sf, "patches").withColumn("id", F.col("id") * 3)
     return co.unmatched(fixture(spark, sf, "legis_items"), shifted, key=("id",)).select("id")
 
 
