@@ -30,13 +30,18 @@ def build_session(app: str = "minutebook", master: str | None = None,
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str | None:
+    key = "spark.checkpoint.dir"
+    return spark.conf.get(key, None) or spark.sparkContext.getConf().get(key, None)
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder of ``spark.checkpoint.dir``.
 
     Only when the session names no shared folder (tests on one machine) does
     this fall back to a local temporary folder.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = shared_folder(spark)
     if not root:
         root = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -48,5 +53,5 @@ def checkpointed(df, eager: bool = True):
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or scratch_dir(spark, "checkpoints"))
+            shared_folder(spark) or scratch_dir(spark, "checkpoints"))
     return df.checkpoint(eager)

@@ -67,10 +67,8 @@ def test_report_round_trip(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "j")).columns == ["id", "other", "text"]
 
 
-def test_materialize_uses_shared_folder(spark, tmp_path):
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path / "shared"))
-    try:
-        df = materialize(spark.range(5), "n")
-        assert df.count() == 5 and all(str(tmp_path / "shared") in f for f in df.inputFiles())
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+def test_materialize_uses_shared_folder(spark, tmp_path, monkeypatch):
+    from minutebook import session
+    monkeypatch.setattr(session, "shared_folder", lambda _: str(tmp_path / "shared"))
+    df = materialize(spark.range(5), "n")
+    assert df.count() == 5 and all(str(tmp_path / "shared") in f for f in df.inputFiles())
