@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from minutebook.llm import minhash
+from minutebook.llm import minhash, substring
 from minutebook.llm.common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,3 +27,9 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
 def op10_dart_minhash(spark: SparkSession, sf: str) -> DataFrame:
     classes = minhash.near_duplicates(load(spark, sf, "documents"))
     return classes.withColumn("kept", F.col("doc_id") == F.col("class_id"))
+
+
+@query
+def op9_relative_lz(spark: SparkSession, sf: str) -> DataFrame:
+    found = substring.remove_repeats(load(spark, sf, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
