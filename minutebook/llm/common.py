@@ -8,11 +8,18 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from minutebook.operators.tables import materialize
+from minutebook.session import scratch_dir
 
 __all__ = ["components", "load", "materialize", "partitions", "ship", "text_bytes"]
 
 
+def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: several readers, one computation, no lost blocks."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.option("compression", codec).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ship(module: str) -> None:
     """Send a module's functions with the job: workers need not have the package installed."""
     cloudpickle.register_pickle_by_value(sys.modules[module])

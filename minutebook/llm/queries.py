@@ -11,9 +11,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from minutebook.llm import minhash, substring
+from minutebook.llm import minhash, packing, substring
 from minutebook.llm.common import load
 
+TOKENIZER = "word_bpe_49k.json"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -29,6 +31,16 @@ def op10_dart_minhash(spark: SparkSession, sf: str) -> DataFrame:
     return classes.withColumn("kept", F.col("doc_id") == F.col("class_id"))
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+    return public_tokenizers.path(TOKENIZER)
+
+
+@query
+def op4_concatenate_cut(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack(load(spark, sf, "documents"), tokenizer_path())
+
+
 @query
 def op9_relative_lz(spark: SparkSession, sf: str) -> DataFrame:
     found = substring.remove_repeats(load(spark, sf, "documents"))
