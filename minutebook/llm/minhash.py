@@ -202,7 +202,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
              .select("node", F.concat_ws("-", "component", F.least("own", "with"), F.greatest("own", "with")).alias("unit")))
     total = clusters.count()
     bins = max(1, -(-total // (2 * block)))
-    members = (rows_in.join(units.withColumnRenamed("node", "_id"), "_id")
+    # A shuffle join at every size: what a broadcast saves on small inputs would not last.
+    members = (rows_in.join(units.withColumnRenamed("node", "_id").hint("merge"), "_id")
                .withColumn("bin", F.pmod(F.xxhash64("unit"), F.lit(bins))))
     forest = members.groupBy("bin").applyInArrow(_forest(n, similarity), "a long, b long")
     classes = components(forest.union(copy_links))
@@ -215,4 +216,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """Rows of ``docs`` whose id is the least of its class, columns unchanged."""
     classes = near_duplicates(docs, id_col, **options)
     gone = classes.where(F.col("class_id") != F.col(id_col)).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    return docs.join(gone.hint("merge"), F.col(id_col) == F.col("_gone"), "left_anti")
