@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from minutebook.llm import minhash, packing, substring
+from minutebook.llm import minhash, packing, quality, substring, toxicity
 from minutebook.llm.common import load
 
 TOKENIZER = "word_bpe_49k.json"
@@ -36,11 +36,21 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+@query
+def op3_factorization_machine(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.score_quality(load(spark, sf, "documents"), load(spark, sf, "labels"))
+
+
 @query
 def op4_concatenate_cut(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(load(spark, sf, "documents"), tokenizer_path())
 
 
+@query
+def op7_ngram_nb_linear(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity.score_toxicity(load(spark, sf, "documents"), load(spark, sf, "labels"))
+
+
 @query
 def op9_relative_lz(spark: SparkSession, sf: str) -> DataFrame:
     found = substring.remove_repeats(load(spark, sf, "documents"))
