@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from minutebook.llm import minhash, packing, quality, substring, toxicity
+from minutebook.llm import minhash, mixing, packing, quality, substring, toxicity
 from minutebook.llm.common import load
 
 TOKENIZER = "word_bpe_49k.json"
@@ -36,6 +36,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+@query
+def op1_pfair_mix(spark: SparkSession, sf: str) -> DataFrame:
+    mixed = mixing.mix(load(spark, sf, "documents"))
+    return mixed.select("doc_id", "source", "mix.block", "mix.release", "mix.deadline", "mix.slot", "mix.start", "mix.share")
+
+
 @query
 def op3_factorization_machine(spark: SparkSession, sf: str) -> DataFrame:
     return quality.score_quality(load(spark, sf, "documents"), load(spark, sf, "labels"))
