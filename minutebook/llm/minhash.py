@@ -207,13 +207,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                .withColumn("bin", F.pmod(F.xxhash64("unit"), F.lit(bins))))
     forest = members.groupBy("bin").applyInArrow(_forest(n, similarity), "a long, b long")
     classes = components(forest.union(copy_links))
-    named = docs.join(classes.select(F.col("node").alias("_node"), F.col("component").alias("_class")),
+    named = docs.select(F.col(id_col)).join(classes.select(F.col("node").alias("_node"), F.col("component").alias("_class")),
                       F.col(id_col) == F.col("_node"), "left")
     return named.select(F.col(id_col), F.coalesce("_class", F.col(id_col)).alias("class_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """Rows of ``docs`` whose id is the least of its class, columns unchanged."""
+    """Rows of ``docs`` whose id is the least of its class, columns unchanged.
+
+    Rows without words or without id stay; rows that repeat an id stay or go together.
+    """
     classes = near_duplicates(docs, id_col, **options)
     gone = classes.where(F.col("class_id") != F.col(id_col)).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone.hint("merge"), F.col(id_col) == F.col("_gone"), "left_anti")
+    return docs.join(gone.hint("merge"), docs[id_col] == gone["_gone"], "left_anti")

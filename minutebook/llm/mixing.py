@@ -55,8 +55,8 @@ def root_shares(sizes: DataFrame, slots: int = 1000) -> DataFrame:
 
 def mix(docs: DataFrame, shares: dict[str | None, int] | None = None, source_col: str = "source",
         id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, chunk_rows: int = CHUNK_ROWS,
-        size: Column | None = None) -> DataFrame:
-    """All rows and columns of ``docs`` and a struct ``mix``: block, release, deadline, slot, start, share.
+        size: Column | None = None, into: str = "mix") -> DataFrame:
+    """All rows and columns of ``docs`` and a struct ``into``: block, release, deadline, slot, start, share.
 
     Ordered by (mix.slot, mix.start) the rows are the mixture.  ``shares``
     gives each source a positive whole number; sources not named get 1, and
@@ -66,10 +66,10 @@ def mix(docs: DataFrame, shares: dict[str | None, int] | None = None, source_col
     following ones empty.  A source that runs out leaves its slots unused, and
     the others keep their proportions.  A null source is a source of its own;
     equal rows stay, in any order among themselves.  An empty table gives an
-    empty result.  An input column named mix is refused.
+    empty result.  ``into`` must not be a column of the input.
     """
-    if "mix" in [c.lower() for c in docs.columns]:
-        raise ValueError("the table already has a column mix")
+    if into.lower() in [c.lower() for c in docs.columns]:
+        raise ValueError(f"the table already has a column {into}")
     if block < 1 or any(int(s) != s or s < 1 for s in (shares or {}).values()):
         raise ValueError("block and shares must be positive whole numbers")
     spark = docs.sparkSession
@@ -111,10 +111,13 @@ def mix(docs: DataFrame, shares: dict[str | None, int] | None = None, source_col
     turn = F.expr("_block div share * slots")
     return placed.join(turns, match).select(*(F.col(n).alias(c) for c, n in inner.items()), F.struct(
         F.col("_block").alias("block"), (turn + F.col("release")).alias("release"), (turn + F.col("deadline")).alias("deadline"),
-        (turn + F.col("slot")).alias("slot"), F.col("_start").alias("start"), "share").alias("mix"))
+        (turn + F.col("slot")).alias("slot"), F.col("_start").alias("start"), "share").alias(into))
 
 
 def in_order(docs: DataFrame, **options) -> DataFrame:
     """``docs`` in the order of the mixture, columns unchanged: stored files follow each other in that order."""
-    mixed = mix(docs, **options)
-    return mixed.orderBy("mix.slot", "mix.start").drop("mix")
+    into = "mix"
+    while into in [c.lower() for c in docs.columns]:
+        into += "_"
+    mixed = mix(docs, into=into, **options)
+    return mixed.orderBy(f"{into}.slot", f"{into}.start").drop(into)

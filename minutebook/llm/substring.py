@@ -168,11 +168,11 @@ def _index_seeds(part: pa.Table) -> pa.Table:
         "copies": pa.array([i[a:b].tobytes() for a, b in zip(text_cut[:-1], text_cut[1:])], pa.binary())})
 
 
-def _sorted(part: pa.Table) -> tuple[np.ndarray, list[bytes]]:
-    """Ids and texts of a segment in the order in which places are counted."""
+def _sorted(part: pa.Table) -> tuple[np.ndarray, list[bytes], list[int]]:
+    """Ids and texts of a segment in the order in which places are counted, and that order."""
     ids, bodies = _ids(part.column("_id")), part.column("_body").to_pylist()
     order = sorted(range(len(bodies)), key=lambda k: (ids[k], bodies[k]))
-    return ids[order], [bodies[k] for k in order]
+    return ids[order], [bodies[k] for k in order], order
 
 
 def _look_up(window: int, seed: int, blocks: int):
@@ -181,7 +181,7 @@ def _look_up(window: int, seed: int, blocks: int):
             return pa.table({n: pa.array([], t) for n, t in zip(
                 ("block", "seg", "hashes", "checks", "places", "starts", "ids", "known"),
                 [pa.int32()] * 2 + [pa.binary()] * 6)})
-        ids, bodies = _sorted(docs)
+        ids, bodies, _ = _sorted(docs)
         seg = docs.column("seg")[0].as_py()
         seeds = np.sort(_joined(known.column("seeds"), U))
         copy = np.isin(ids, _joined(known.column("copies"), np.int64))
@@ -272,18 +272,19 @@ def _first_places(part: pa.Table) -> pa.Table:
                                             ("diagonals", pa.binary()), ("copies", pa.binary())]))
 
 
-def _parse(window: int, with_text: bool):
+def _parse(window: int, with_text: bool, carried: int):
     names = ["_id", "n_words", "n_removed", "kept_sha256", "starts", "lengths"] + ["kept_text"] * with_text
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())] + [pa.string()] * with_text
-    schema = pa.schema(list(zip(names, kinds)))
+    others = [f"c{i}" for i in range(carried)]
 
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
-        rows = []
+        rows, order = [], []
         if docs.num_rows:
-            ids, bodies = _sorted(docs)
+            ids, bodies, order = _sorted(docs)
+            none = docs.column("_none").take(pa.array(order)).to_pylist()
             places, diagonals = _joined(found.column("places"), np.uint32), _joined(found.column("diagonals"), np.uint32)
-            order = np.argsort(places, kind="stable")
-            places, diagonals = places[order].astype(np.int64), diagonals[order]
+            rising = np.argsort(places, kind="stable")
+            places, diagonals = places[rising].astype(np.int64), diagonals[rising]
             copies = set(_joined(found.column("copies"), np.uint32).tolist())
             begin = np.ones(len(places), bool)
             begin[1:] = (places[1:] != places[:-1] + 1) | (diagonals[1:] != diagonals[:-1])
@@ -310,22 +311,26 @@ def _parse(window: int, with_text: bool):
                 text = b" ".join(left)
                 row = [None if doc == NONE else doc, n, n - len(left), sha256(text).hexdigest(), at.tolist(), (end - at).tolist()]
                 if with_text:
-                    row.append((text if len(at) else body).decode())
+                    row.append(None if none[k] else (text if len(at) else body).decode())
                 rows.append(row)
-        return pa.table([pa.array(list(x), t) for x, t in zip(zip(*rows) if rows else [[]] * len(kinds), kinds)], schema=schema)
+        made = [pa.array(list(x), t) for x, t in zip(zip(*rows) if rows else [[]] * len(kinds), kinds)]
+        kept = [docs.column(c).take(pa.array(order, pa.int64())) for c in others] if docs.num_columns else []
+        return pa.table(made + kept, names=names + others)
     return run
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20,
-                   seed: int = 8, segment_rows: int = 1500, with_text: bool = False) -> DataFrame:
+                   seed: int = 8, segment_rows: int = 1500, with_text: bool = False,
+                   keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per text: id_col, n_words, n_removed, kept_sha256, spans and, if asked for, kept_text.
 
     A word is removed if a window of ``window`` consecutive words that covers
     it also starts earlier: in a text of smaller id, or earlier in its own.
     ``spans`` are the factors (start and length in words; those of different
     sources may overlap); ``kept_text`` is the text itself where nothing was
-    removed, else the kept words joined by one space.  Null texts count as
-    empty: no words, nothing removed.  A null id stands before all others.
+    removed, else the kept words joined by one space.  ``keep`` names further
+    columns to carry along.  Null texts count as empty: no words, nothing
+    removed, a null kept_text.  A null id stands before all others.
     Rows that repeat an id count as texts one after the other in a fixed
     order; of equal rows all but one lose their windows.  Other columns are
     not looked at; an empty table gives an empty result.
@@ -333,15 +338,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     blocks = partitions(spark)
     segments = max(1, -(-docs.count() // segment_rows))
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), text_bytes(text_col).alias("_body"))
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), text_bytes(text_col).alias("_body"),
+                       F.col(text_col).isNull().alias("_none"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)))
+    extra = "".join(f", c{i} {rows.schema[f'c{i}'].dataType.simpleString()}" for i in range(len(keep)))
     rows = rows.withColumn("seg", F.pmod(F.xxhash64("_id", "_body"), F.lit(segments)).cast("int"))
-    seeds = rows.mapInArrow(_name_seeds(window, seed, blocks), SEEDS)
+    plain = rows.drop("_none", *(f"c{i}" for i in range(len(keep))))
+    seeds = plain.mapInArrow(_name_seeds(window, seed, blocks), SEEDS)
     known = seeds.groupBy("block").applyInArrow(_index_seeds, KNOWN)
-    phrases = rows.groupBy("seg").cogroup(known.groupBy("seg")).applyInArrow(_look_up(window, seed, blocks), PHRASES)
+    phrases = plain.groupBy("seg").cogroup(known.groupBy("seg")).applyInArrow(_look_up(window, seed, blocks), PHRASES)
     found = phrases.groupBy("block").applyInArrow(_first_places, FOUND)
     schema = "_id long, n_words long, n_removed long, kept_sha256 string, starts array<long>, lengths array<long>"
     parsed = rows.groupBy("seg").cogroup(found.groupBy("seg")).applyInArrow(
-        _parse(window, with_text), schema + ", kept_text string" * with_text)
+        _parse(window, with_text, len(keep)), schema + ", kept_text string" * with_text + extra)
     spans = F.arrays_zip(F.col("starts").alias("start"), F.col("lengths").alias("length"))
     return parsed.select(F.col("_id").alias(id_col), "n_words", "n_removed", "kept_sha256", spans.alias("spans"),
-                         *(["kept_text"] * with_text))
+                         *(["kept_text"] * with_text), *(F.col(f"c{i}").alias(c) for i, c in enumerate(keep)))

@@ -144,16 +144,9 @@ def scores(bodies: list[bytes], model: np.ndarray) -> np.ndarray:
     return out
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5,
-                   fold: int = 0, fit_rows: int = FIT_ROWS, threshold: float = 0.5, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per text: id_col, held_out, score (0 to 1), predicted; ``keep`` names columns to carry along.
-
-    The model is fitted on at most ``fit_rows`` labelled texts of either label
-    outside the held-out fold, chosen by hash of their id; shares of the
-    labels are counted over all.  Null and empty texts get the score of an
-    empty stretch.  Without labels, or with one label only, every text gets
-    the smoothed share of toxic rows.  Every row is scored, repeated ids too.
-    """
+def _scored(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, folds: int, fold: int, fit_rows: int,
+            keep: list[str]) -> DataFrame:
+    """_id, score and the columns to keep as c0, c1, ..."""
     model = np.frombuffer(labelled.fitted(
         labelled.training_rows(docs, labels, "toxic", folds, fold, fit_rows, id_col, text_col), fit), "<f4")
 
@@ -163,8 +156,31 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
             names = [n for n in part.schema.names if n != "_body"]
             yield pa.RecordBatch.from_arrays([part.column(n) for n in names] + [pa.array(value)], names + ["score"])
 
-    rows = docs.select(*dict.fromkeys([id_col, *keep]), text_bytes(text_col).alias("_body"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_body")
-    return rows.mapInArrow(run, f"{kinds}, score double").select(
-        id_col, labelled.held_out(id_col, folds, fold).alias("held_out"), "score",
-        (F.col("score") >= threshold).cast("int").alias("predicted"), *[k for k in keep if k != id_col])
+    rows = docs.select(F.col(id_col).alias("_id"), text_bytes(text_col).alias("_body"),
+                       *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "_body")
+    return rows.mapInArrow(run, f"{kinds}, score double")
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5,
+                   fold: int = 0, fit_rows: int = FIT_ROWS, threshold: float = 0.5) -> DataFrame:
+    """One row per text: id_col, held_out, score (0 to 1), predicted.
+
+    The model is fitted on at most ``fit_rows`` labelled texts of either label
+    outside the held-out fold, chosen by hash of their id; shares of the
+    labels are counted over all.  Null and empty texts get the score of an
+    empty stretch.  Without labels, or with one label only, every text gets
+    the smoothed share of toxic rows.  Every row is scored, repeated ids too;
+    other columns are not looked at.
+    """
+    return _scored(docs, labels, id_col, text_col, folds, fold, fit_rows, []).select(
+        F.col("_id").alias(id_col), labelled.held_out("_id", folds, fold).alias("held_out"), "score",
+        (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5,
+               fold: int = 0, fit_rows: int = FIT_ROWS, threshold: float = 0.5) -> DataFrame:
+    """Rows of ``docs`` that score below the threshold, columns unchanged."""
+    names = docs.columns
+    return (_scored(docs, labels, id_col, text_col, folds, fold, fit_rows, names).where(F.col("score") < threshold)
+            .select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names))))
