@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from minutebook.llm import minhash, mixing, packing, quality, substring, toxicity, vectors
+from minutebook.llm import minhash, mixing, packing, quality, substring, topk, toxicity, vectors
 from minutebook.llm.common import load
 
 TOKENIZER = "word_bpe_49k.json"
@@ -57,6 +57,11 @@ def op5_sorted_projections(spark: SparkSession, sf: str) -> DataFrame:
     return vectors.near_duplicate_vectors(load(spark, sf, "embeddings"))
 
 
+@query
+def op6_voronoi_join(spark: SparkSession, sf: str) -> DataFrame:
+    return topk.top_products(load(spark, sf, "embeddings"))
+
+
 @query
 def op7_ngram_nb_linear(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity.score_toxicity(load(spark, sf, "documents"), load(spark, sf, "labels"))
