@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from minutebook.llm import minhash, mixing, packing, quality, substring, topk, toxicity, vectors
+from minutebook.llm import chat, licenses, minhash, mixing, packing, quality, substring, topk, toxicity, vectors
 from minutebook.llm.common import load
 
 TOKENIZER = "word_bpe_49k.json"
@@ -42,6 +42,14 @@ def op1_pfair_mix(spark: SparkSession, sf: str) -> DataFrame:
     return mixed.select("doc_id", "source", "mix.block", "mix.release", "mix.deadline", "mix.slot", "mix.start", "mix.share")
 
 
+@query
+def op2_sentence_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return licenses.scan_licenses(load(spark, sf, "documents"))
+
+
+ORACLES["op2_sentence_rules"] = licenses.oracle()
+
+
 @query
 def op3_factorization_machine(spark: SparkSession, sf: str) -> DataFrame:
     return quality.score_quality(load(spark, sf, "documents"), load(spark, sf, "labels"))
@@ -67,6 +75,53 @@ def op7_ngram_nb_linear(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity.score_toxicity(load(spark, sf, "documents"), load(spark, sf, "labels"))
 
 
+@query
+def op8_preference_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    turns = load(spark, sf, "conversations")
+    pairs = chat.preference_pairs(turns, chat.with_other_answer(turns))
+
+    def listed(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws("-", s["start"], s["end"])), ",")
+
+    return pairs.select("conv_id", "prefix_turns", "prompt", "chosen", listed("chosen_spans").alias("chosen_spans"),
+                        "rejected", listed("rejected_spans").alias("rejected_spans"))
+
+
+ORACLES["op8_preference_pairs"] = """
+WITH t AS (
+  SELECT conv_id AS pair, turn, coalesce(role, 'user') AS role, replace(coalesce(text, ''), '<|', '< |') AS text, 'a' AS side
+  FROM conversations WHERE conv_id IS NOT NULL
+), last AS (
+  SELECT conv_id AS pair, max(turn) AS stop, max({'turn': turn, 'text': coalesce(text, '')}).text AS answer
+  FROM conversations WHERE role = 'assistant' AND conv_id IS NOT NULL GROUP BY conv_id
+), both_sides AS (
+  SELECT * FROM t
+  UNION ALL SELECT t.pair, turn, role, text, 'b' FROM t LEFT JOIN last USING (pair) WHERE stop IS NULL OR turn < stop
+  UNION ALL SELECT l.pair, l.stop, 'assistant', replace(o.answer, '<|', '< |'), 'b' FROM last l JOIN last o ON o.pair = xor(l.pair, 1)
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY pair, side ORDER BY turn, role, text) AS k FROM both_sides
+), prefix AS (
+  SELECT pair, coalesce(min(CASE WHEN same THEN NULL ELSE k END) - 1, max(k)) AS n FROM (
+    SELECT pair, k, count(*) = 2 AND count(DISTINCT role || chr(0) || text) = 1 AS same FROM numbered GROUP BY pair, k) GROUP BY pair
+), rendered AS (
+  SELECT pair, side, k, n, role, '<|im_start|>' || role || chr(10) AS head, text FROM numbered JOIN prefix USING (pair)
+), placed AS (
+  SELECT *, head || text || '<|im_end|>' || chr(10) AS body,
+    coalesce(sum(length(head) + length(text) + 11) OVER (PARTITION BY pair, side, k > n ORDER BY k
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT + length(head) AS first
+  FROM rendered
+)
+SELECT pair AS conv_id, any_value(n)::INT AS prefix_turns,
+  coalesce(string_agg(body, '' ORDER BY k) FILTER (WHERE side = 'a' AND k <= n), '') AS prompt,
+  coalesce(string_agg(body, '' ORDER BY k) FILTER (WHERE side = 'a' AND k > n), '') AS chosen,
+  coalesce(string_agg(first || '-' || (first + length(text) + 10), ',' ORDER BY k)
+    FILTER (WHERE side = 'a' AND k > n AND role = 'assistant'), '') AS chosen_spans,
+  coalesce(string_agg(body, '' ORDER BY k) FILTER (WHERE side = 'b' AND k > n), '') AS rejected,
+  coalesce(string_agg(first || '-' || (first + length(text) + 10), ',' ORDER BY k)
+    FILTER (WHERE side = 'b' AND k > n AND role = 'assistant'), '') AS rejected_spans
+FROM placed GROUP BY pair"""
+
+
 @query
 def op9_relative_lz(spark: SparkSession, sf: str) -> DataFrame:
     found = substring.remove_repeats(load(spark, sf, "documents"))
