@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from minutebook.llm.common import materialize
 
 MOST_SLOTS = 10_000
-CHUNK_ROWS = 20_000
+CHUNK_ROWS = 2_000
 BLOCK = 1 << 16
 
 
