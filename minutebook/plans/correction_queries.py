@@ -230,13 +230,13 @@ def _(spark, sf):
 @query("m10_packages", f"""
 SELECT o_orderkey AS id, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS meeting_date, COALESCE(n, 0) AS item_count, n IS NOT NULL AS processed
 FROM orders LEFT JOIN (SELECT package_id, count(*) AS n FROM ({REPLACED}) GROUP BY 1) r ON r.package_id = o_orderkey
-ORDER BY meeting_date DESC, id DESC LIMIT 100""")
+ORDER BY meeting_date DESC, id DESC""")
 def _(spark, sf):
     packages = table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("id"), F.to_date("o_orderdate").cast("string").alias("meeting_date"),
         F.lit(None).cast("timestamp").alias("processed_at"), F.lit(0).cast("long").alias("item_count"))
     done = co.mark_processed(packages, replaced(spark, sf))
-    return co.list_packages(done).limit(100).select("id", "meeting_date", "item_count", F.col("processed_at").isNotNull().alias("processed"))
+    return co.list_packages(done).select("id", "meeting_date", "item_count", F.col("processed_at").isNotNull().alias("processed"))
 
 
 @query("m11_replace_committees", "SELECT r_name AS name, '2000-01-01' AS start, CAST(NULL AS VARCHAR) AS \"end\" FROM region")
@@ -247,7 +247,7 @@ def _(spark, sf):
     new = table(spark, sf, "region").select(F.col("r_name").alias("name"), F.lit("2000-01-01").alias("start"),
                                             F.lit(None).cast("string").alias("end"))
     mt.replace_committees(new, path)
-    return mt.read_committees(spark, path, lines=True)
+    return mt.read_committees(spark, path)
 
 
 @query("j9_toc_merge", """

@@ -14,12 +14,13 @@ from minutebook.sources import documents as docs, meetings as mt, reports as rp
 
 
 @query("s1_read_meetings", """
-SELECT id, date, number, description FROM legis_items WHERE date >= '1993-06-01' AND date <= '1997-03-31'""")
+SELECT id, date, pos, number, description FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY date ORDER BY id) - 1 AS INT) AS pos FROM legis_items)
+WHERE date >= '1993-06-01' AND date <= '1997-03-31'""")
 def _(spark, sf):
     path = scratch_dir(spark, "meetings")
     mt.write_meetings(fixture(spark, sf, "legis_items"), path)
-    return mt.read_meetings(spark, path, date_from="1993-06-01", lines=True) \
-        .where("date <= '1997-03-31'").select("id", "date", "number", "description")
+    return mt.read_meetings(spark, path, "1993-06-01", "1997-03-31").select("id", "date", "pos", "number", "description")
 
 
 @query("s2_write_items", """
@@ -38,7 +39,7 @@ def _(spark, sf):
     nested = terms.groupBy("name").agg(F.sort_array(F.collect_list(F.struct(
         F.col("start_date").alias("start"), F.col("end_date").alias("end"), "office"))).alias("terms"))
     nested.select(F.array(F.struct("name", "terms")).alias("councilmembers")).write.json(path)
-    return mt.read_terms(spark, path, lines=True).select("name", "start_date", "end_date", "office")
+    return mt.read_terms(spark, path).select("name", "start_date", "end_date", "office")
 
 
 @query("s3_read_committees", """SELECT name, '1990-01-01' AS "start", end_date AS "end" FROM committees""")
@@ -46,7 +47,7 @@ def _(spark, sf):
     path = scratch_dir(spark, "committees")
     rows = fixture(spark, sf, "committees").select("name", F.lit("1990-01-01").alias("start"), F.col("end_date").alias("end"))
     mt.replace_committees(rows, path)
-    return mt.read_committees(spark, path, lines=True)
+    return mt.read_committees(spark, path)
 
 
 @query("s4_read_text_corpus", """

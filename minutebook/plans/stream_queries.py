@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from minutebook.plans.fixtures import fixture, table
 from minutebook.plans.registry import query
-from minutebook.schemas import MEETING
 from minutebook.session import scratch_dir
 from minutebook.sources import meetings as mt
 from minutebook.streaming import ingest as ig
@@ -15,10 +14,10 @@ EVENT = "event_id long, ts timestamp, event_type string, value double"
 
 
 def arrive(df, day: str, path: str, parts: int = 4) -> str:
-    """Write the rows as files that arrive one after the other, oldest first."""
+    """Write the rows as groups of files that arrive one after the other, oldest first."""
     slot = F.least(F.floor((F.dayofmonth(day) - 1) / 8), F.lit(parts - 1))
     for k in range(parts):
-        df.where(slot == k).coalesce(1).write.mode("append").parquet(path)
+        df.where(slot == k).write.mode("append").parquet(path)
     return path
 
 
@@ -35,9 +34,7 @@ def event_stream(spark, path: str):
 def _(spark, sf):
     base = scratch_dir(spark, "ingest")
     mt.write_meetings(fixture(spark, sf, "legis_items"), base + "/in")
-    stream = spark.readStream.schema(MEETING).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 10).json(base + "/in")
-    items = ig.exploded(stream).withColumn("year", F.substring("date", 1, 4).try_cast("int"))
-    ig.run(items.writeStream.format("parquet").outputMode("append").partitionBy("year"), base + "/cp", base + "/out")
+    ig.ingest_stream(spark, base + "/in", base + "/out", base + "/cp", files_per_batch=10, lines=True)
     return spark.read.parquet(base + "/out").select("id", "date", "number", "year")
 
 
@@ -57,8 +54,7 @@ def _(spark, sf):
                                              F.struct("ts", "event_id").alias("seq")), "seq.ts", base + "/in")
     stream = (spark.readStream.schema("id long, title string, seq struct<ts:timestamp,event_id:long>")
               .option("maxFilesPerTrigger", 1).parquet(base + "/in"))
-    stored = spark.createDataFrame([], "id long, title string").schema
-    target = ig.VersionedTable(spark, base + "/out", stored)
+    target = ig.DeltaTable(spark, base + "/out", stream.schema, ig.newest_by_id(["title"]))
     ig.upsert_stream(stream, target, base + "/cp")
     return target.read().select("id", "title", F.lit(True).alias("stored"))
 
@@ -70,7 +66,7 @@ def _(spark, sf):
     stream = event_stream(spark, event_files(spark, sf)).select(
         F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type")
     schema = spark.createDataFrame([], "day string, event_type string, n long").schema
-    target = ig.VersionedTable(spark, base + "/out", schema)
+    target = ig.DeltaTable(spark, base + "/out", schema, ig.summed(["day", "event_type"]))
     ig.rollup_table_stream(stream, target, ["day", "event_type"], base + "/cp")
     return target.read()
 
@@ -101,6 +97,6 @@ def _(spark, sf):
     table(spark, sf, "events").select(F.col("user_id").alias("id"), F.lit(True).alias("seen")) \
         .repartition(3).write.parquet(base + "/in")
     stream = spark.readStream.schema("id long, seen boolean").option("maxFilesPerTrigger", 1).parquet(base + "/in")
-    target = ig.VersionedTable(spark, base + "/out", stream.schema)
+    target = ig.DeltaTable(spark, base + "/out", stream.schema, ig.first_by_key("id", ["seen"]))
     ig.skip_seen_stream(stream, target, "id", base + "/cp")
     return target.read()

@@ -22,6 +22,7 @@ ITEM = T.StructType([
 MEETING = T.StructType([
     T.StructField("date", T.StringType()),
     T.StructField("downloaded_at", T.StringType()),
+    T.StructField("first", T.LongType()),
     T.StructField("data", T.ArrayType(ITEM)),
 ])
 

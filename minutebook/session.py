@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -35,23 +37,22 @@ def shared_folder(spark: SparkSession) -> str | None:
     return spark.conf.get(key, None) or spark.sparkContext.getConf().get(key, None)
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder of ``spark.checkpoint.dir``.
+    """A fresh path under the shared folder of ``spark.checkpoint.dir``, below the application's id.
 
-    Only when the session names no shared folder (tests on one machine) does
-    this fall back to a local temporary folder.
+    A session on one machine (``local[...]``) that names no folder gets a
+    temporary one, removed when Python ends.  On a cluster a folder that all
+    executors share is required.
     """
     root = shared_folder(spark)
     if not root:
-        root = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def checkpointed(df, eager: bool = True):
-    """Cut the lineage of ``df`` with a reliable checkpoint."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(
-            shared_folder(spark) or scratch_dir(spark, "checkpoints"))
-    return df.checkpoint(eager)
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        if "root" not in _LOCAL:
+            _LOCAL["root"] = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
+            atexit.register(shutil.rmtree, _LOCAL["root"], ignore_errors=True)
+        root = _LOCAL["root"]
+    return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"

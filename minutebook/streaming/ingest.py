@@ -11,9 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
+from pyspark.sql.utils import AnalysisException
 
 from minutebook import schemas
-from minutebook.operators.corrections import upsert_news
+from minutebook.sources.meetings import explode_items
 
 
 def run(writer, checkpoint: str, path: str | None = None) -> None:
@@ -21,23 +22,18 @@ def run(writer, checkpoint: str, path: str | None = None) -> None:
     (stream.start(path) if path else stream.start()).awaitTermination()
 
 
-def meeting_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
-    """Items of meeting files as they arrive; empty days yield nothing."""
-    raw = (spark.readStream.schema(schemas.MEETING).option("multiLine", True)
+def meeting_stream(spark: SparkSession, path: str, files_per_batch: int = 1000, lines: bool = False) -> DataFrame:
+    """Items of meeting files as they arrive, one document per file or, with ``lines``, one record per line."""
+    raw = (spark.readStream.schema(schemas.MEETING).option("multiLine", not lines)
            .option("recursiveFileLookup", True).option("maxFilesPerTrigger", files_per_batch)
            .json(path))
-    return exploded(raw)
-
-
-def exploded(meetings: DataFrame) -> DataFrame:
-    return (meetings.select("date", F.posexplode("data").alias("pos", "item"))
-            .select("date", "pos", "item.*"))
+    return explode_items(raw)
 
 
 def ingest_stream(spark: SparkSession, source: str, target: str, checkpoint: str,
-                  files_per_batch: int = 1000) -> None:
+                  files_per_batch: int = 1000, lines: bool = False) -> None:
     """Append new meeting files to the item table, partitioned by year."""
-    items = meeting_stream(spark, source, files_per_batch) \
+    items = meeting_stream(spark, source, files_per_batch, lines) \
         .withColumn("year", F.substring("date", 1, 4).try_cast("int"))
     run(items.writeStream.format("parquet").outputMode("append").partitionBy("year"), checkpoint, target)
 
@@ -48,48 +44,70 @@ def since_high_watermark(rows: DataFrame, stored: DataFrame, key: str = "id") ->
     return rows.where(top.isNull() | (F.col(key) > top))
 
 
-class VersionedTable:
-    """Parquet table kept as numbered versions in a shared folder.
+class DeltaTable:
+    """A table kept as what each batch brought, folded when it is read.
 
-    A version is named after the batch that wrote it, so repeating a batch
-    after a failure rewrites the same version from the same base.
+    Every batch of every stream is one partition ``source=.../batch=...``.
+    Repeating a batch after a failure overwrites its own partition only, so
+    results do not change; a second stream or a new checkpoint has another
+    ``source`` and hides nothing.  Batches write no more than they bring.
+    :meth:`compact` folds a table into a new one for fast reading.
     """
 
-    def __init__(self, spark: SparkSession, root: str, schema: StructType):
-        self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
+    def __init__(self, spark: SparkSession, root: str, schema: StructType,
+                 fold: Callable[[DataFrame], DataFrame]):
+        self.spark, self.root, self.schema, self.fold = spark, root.rstrip("/"), schema, fold
+
+    def deltas(self) -> DataFrame:
+        """All rows ever written, with source and batch."""
+        kind = StructType(self.schema.fields).add("source", "string").add("batch", "long")
+        try:
+            return self.spark.read.schema(kind).parquet(self.root)
+        except AnalysisException:  # nothing was written yet
+            return self.spark.createDataFrame([], kind)
+
+    def read(self) -> DataFrame:
+        return self.fold(self.deltas())
+
+    def write(self, rows: DataFrame, source: str, batch: int) -> None:
+        (rows.select(*self.schema.names).withColumn("source", F.lit(source)).withColumn("batch", F.lit(batch))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("source", "batch").parquet(self.root))
 
-    def _versions(self) -> list[int]:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.root)
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(path):
-            return []
-        names = [s.getPath() for s in fs.listStatus(path)]
-        # A version counts once its success marker exists.
-        return sorted(int(p.getName()[1:]) for p in names if p.getName().startswith("v")
-                      and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+    def compact(self, target: str) -> DeltaTable:
+        """A new table that holds the folded rows as one batch; later streams go on there."""
+        smaller = DeltaTable(self.spark, target, self.schema, self.fold)
+        smaller.write(self.read(), "compacted", -1)
+        return smaller
 
-    def read(self, before: int | None = None) -> DataFrame:
-        versions = [v for v in self._versions() if before is None or v < before]
-        if not versions:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.root}/v{versions[-1]}")
 
-    def write(self, df: DataFrame, version: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.root}/v{version}")
+def _source(spark: SparkSession, checkpoint: str) -> str:
+    """The id that Spark gave the query when its checkpoint was made."""
+    kept = spark.read.schema("id string").json(f"{checkpoint.rstrip('/')}/metadata").first()
+    return kept["id"]
 
 
-def batch_writer(table: VersionedTable, merge: Callable[[DataFrame, DataFrame], DataFrame]):
-    """A ``foreachBatch`` function: merge each batch into the version before it."""
+def _append(stream: DataFrame, table: DeltaTable, checkpoint: str,
+            prepare: Callable[[DataFrame], DataFrame]) -> None:
     def write(batch: DataFrame, batch_id: int) -> None:
-        table.write(merge(table.read(before=batch_id), batch), batch_id)
-    return write
+        table.write(prepare(batch), _source(batch.sparkSession, checkpoint), batch_id)
+    run(stream.writeStream.foreachBatch(write), checkpoint)
 
 
-def upsert_stream(stream: DataFrame, table: VersionedTable, checkpoint: str,
-                  merge: Callable[[DataFrame, DataFrame], DataFrame] = upsert_news) -> None:
-    """Insert or update by id, batch by batch, safe to restart."""
-    run(stream.writeStream.foreachBatch(batch_writer(table, merge)), checkpoint)
+def newest_by_id(fields: list[str], seq: str = "seq") -> Callable[[DataFrame], DataFrame]:
+    """Fold for upserts: of each id the row of the highest ``seq``, in whichever batch it came."""
+    def fold(deltas: DataFrame) -> DataFrame:
+        return (deltas.groupBy("id").agg(F.max_by(F.struct(*fields, seq), F.struct(seq, "batch")).alias("_new"))
+                .select("id", "_new.*"))
+    return fold
+
+
+def upsert_stream(stream: DataFrame, table: DeltaTable, checkpoint: str, seq: str = "seq") -> None:
+    """Insert or update by id; rows without id are skipped, within a batch the highest ``seq`` is kept."""
+    rest = [c for c in table.schema.names if c != "id"]
+    _append(stream, table, checkpoint, lambda batch: (
+        batch.where(F.coalesce("id", F.lit(0)) != 0).groupBy("id")
+        .agg(F.max_by(F.struct(*rest), seq).alias("_new")).select("id", "_new.*")))
 
 
 def rollup_stream(stream: DataFrame, ts: str, keys: list[str], width: str, late: str,
@@ -101,17 +119,14 @@ def rollup_stream(stream: DataFrame, ts: str, keys: list[str], width: str, late:
     run(counts.writeStream.format("parquet").outputMode("append"), checkpoint, target)
 
 
-def merge_counts(keys: list[str]) -> Callable[[DataFrame, DataFrame], DataFrame]:
-    """Fold a batch of rows into a table of counts; late rows are counted too."""
-    def merge(base: DataFrame, batch: DataFrame) -> DataFrame:
-        new = batch.groupBy(*keys).agg(F.count("*").alias("n"))
-        return base.unionByName(new).groupBy(*keys).agg(F.sum("n").alias("n"))
-    return merge
+def summed(keys: list[str]) -> Callable[[DataFrame], DataFrame]:
+    """Fold for counts: the sum over all batches, late rows included."""
+    return lambda deltas: deltas.groupBy(*keys).agg(F.sum("n").alias("n"))
 
 
-def rollup_table_stream(stream: DataFrame, table: VersionedTable, keys: list[str], checkpoint: str) -> None:
+def rollup_table_stream(stream: DataFrame, table: DeltaTable, keys: list[str], checkpoint: str) -> None:
     """Roll-up by any key, always up to date: each batch adds its counts."""
-    run(stream.writeStream.foreachBatch(batch_writer(table, merge_counts(keys))), checkpoint)
+    _append(stream, table, checkpoint, lambda batch: batch.groupBy(*keys).agg(F.count("*").alias("n")))
 
 
 def dedupe_stream(stream: DataFrame, keys: list[str], ts: str, late: str, target: str,
@@ -121,15 +136,23 @@ def dedupe_stream(stream: DataFrame, keys: list[str], ts: str, late: str, target
     run(fresh.writeStream.format("parquet").outputMode("append"), checkpoint, target)
 
 
-def append_unseen(key: str) -> Callable[[DataFrame, DataFrame], DataFrame]:
-    """Add only rows whose key the table does not hold, one per key."""
-    def merge(base: DataFrame, batch: DataFrame) -> DataFrame:
-        rest = [c for c in base.columns if c != key]
-        one = (batch.groupBy(key).agg(F.min(F.struct(*rest)).alias("_r"))
-               .select(key, "_r.*").select(*base.columns))
-        return base.unionByName(one.join(base.select(key), key, "left_anti"))
-    return merge
+def first_by_key(key: str, fields: list[str]) -> Callable[[DataFrame], DataFrame]:
+    """Fold that keeps of each key the row that came first."""
+    def fold(deltas: DataFrame) -> DataFrame:
+        return (deltas.groupBy(key).agg(F.min_by(F.struct(*fields), F.struct("batch", "source")).alias("_r"))
+                .select(key, "_r.*"))
+    return fold
+
 
+def skip_seen_stream(stream: DataFrame, table: DeltaTable, key: str, checkpoint: str) -> None:
+    """Store one row for each key that a batch brings and the table did not hold before it."""
+    rest = [c for c in table.schema.names if c != key]
+    spark = stream.sparkSession
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        source = _source(spark, checkpoint)
+        own = (F.col("source") == source) & (F.col("batch") >= batch_id)
+        one = batch.groupBy(key).agg(F.min(F.struct(*rest)).alias("_r")).select(key, "_r.*")
+        table.write(one.join(table.deltas().where(~own).select(key), key, "left_anti"), source, batch_id)
 
-def skip_seen_stream(stream: DataFrame, table: VersionedTable, key: str, checkpoint: str) -> None:
-    run(stream.writeStream.foreachBatch(batch_writer(table, append_unseen(key))), checkpoint)
+    run(stream.writeStream.foreachBatch(write), checkpoint)

@@ -30,11 +30,43 @@ def test_read_meetings(spark, tmp_path):
     assert [r.file_name for r in mt.read_rejects(spark, path).collect()] == ["1994-03-01.json"]
 
 
-def test_write_meetings_splits_large_days(spark, tmp_path):
-    df = spark.createDataFrame([(k, "1994-01-03", f"n{k}") for k in range(25)], "id long, date string, number string")
-    mt.write_meetings(df, str(tmp_path / "m"), chunk=5)
-    assert spark.read.json(str(tmp_path / "m")).count() > 1
-    assert mt.read_meetings(spark, str(tmp_path / "m"), lines=True).select("id").distinct().count() == 25
+def test_stored_meetings_round_trip(spark, tmp_path):
+    """A day larger than a record, with and without given positions, next to a downloaded file."""
+    path = str(tmp_path / "m")
+    df = spark.createDataFrame([(k, d, f"n{k}", 24 - k) for d in ("1994-01-03", "1995-02-01") for k in range(25)],
+                               "id long, date string, number string, pos int")
+    for given in (df, df.drop("pos")):
+        mt.write_meetings(given, path, chunk=5)
+        rows = mt.read_meetings(spark, path).collect()
+        assert len(rows) == 50 and {(r.date, r.pos) for r in rows} == {(d, k) for d in ("1994-01-03", "1995-02-01") for k in range(25)}
+        if "pos" in given.columns:
+            assert all(r.pos == 24 - r.id for r in rows)
+    meeting_files(tmp_path / "m")
+    assert mt.read_meetings(spark, path).where("id is not null").count() == 53
+    for bounds, n in ((("1994-01-01", "1994-12-31"), 27), (("1995-01-01", None), 26), ((None, "1994-06-01"), 27), (("2001-01-01", "2002-01-01"), 0)):
+        assert mt.read_meetings(spark, path, *bounds).where("id is not null").count() == n
+
+
+def test_committees_round_trip(spark, tmp_path):
+    rows = spark.createDataFrame([(f"c{k}", "1990-01-01", None) for k in range(7)], 'name string, start string, end string')
+    mt.replace_committees(rows, str(tmp_path / "c"))
+    assert mt.read_committees(spark, str(tmp_path / "c")).count() == 7
+    put(tmp_path / "c" / "broken.json", "[nothing")
+    from minutebook.schemas import COMMITTEES
+    assert mt.read_committees(spark, str(tmp_path / "c")).count() == 7
+    assert [r.file_name for r in mt.read_rejects(spark, str(tmp_path / "c"), COMMITTEES).collect()] == ["broken.json"]
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster(spark, monkeypatch):
+    import pytest
+    from minutebook import session
+
+    class Cluster:
+        class sparkContext:
+            master, applicationId = "yarn", "a"
+    monkeypatch.setattr(session, "shared_folder", lambda _: None)
+    with pytest.raises(RuntimeError):
+        session.scratch_dir(Cluster, "x")
 
 
 def test_dimensions(spark, tmp_path):

@@ -1,6 +1,5 @@
 import json
 
-from minutebook.operators.corrections import upsert_news
 from minutebook.streaming import ingest as ig
 
 NEWS = "id long, title string"
@@ -15,26 +14,42 @@ def stream(spark, path):
     return spark.readStream.schema(NEWS).option("maxFilesPerTrigger", 1).json(str(path))
 
 
-def table(spark, root):
-    return ig.VersionedTable(spark, str(root), spark.createDataFrame([], NEWS).schema)
+def upserts(spark, root):
+    return ig.DeltaTable(spark, str(root), spark.createDataFrame([], NEWS + ", seq long").schema, ig.newest_by_id(["title"]))
 
 
 def rows(t):
     return sorted((r.id, r.title) for r in t.read().collect())
 
 
-def test_upserts_survive_restart(spark, tmp_path):
-    src, target, cp = tmp_path / "in", table(spark, tmp_path / "out"), str(tmp_path / "cp")
-    drop(src, "a.json", [(1, "a"), (2, "b")])
-    ig.upsert_stream(stream(spark, src), target, cp)
+def numbered(spark, path):
+    return spark.readStream.schema(NEWS + ", seq long").option("maxFilesPerTrigger", 1).json(str(path))
+
+
+def put(path, name, rows):
+    path.mkdir(parents=True, exist_ok=True)
+    (path / name).write_text("\n".join(json.dumps({"id": i, "title": t, "seq": q}) for i, t, q in rows))
+
+
+def test_upserts_survive_restart_and_second_stream(spark, tmp_path):
+    src, target, cp = tmp_path / "in", upserts(spark, tmp_path / "out"), str(tmp_path / "cp")
+    assert rows(target) == []
+    put(src, "a.json", [(1, "a", 1), (2, "b", 5), (0, "none", 1)])
+    ig.upsert_stream(numbered(spark, src), target, cp)
     assert rows(target) == [(1, "a"), (2, "b")]
-    drop(src, "b.json", [(2, "B"), (3, "c")])
-    ig.upsert_stream(stream(spark, src), target, cp)
-    ig.upsert_stream(stream(spark, src), target, cp)  # nothing new
-    assert rows(target) == [(1, "a"), (2, "B"), (3, "c")]
-    # A repeated batch rewrites its own version from the version before it.
-    ig.batch_writer(target, upsert_news)(spark.createDataFrame([(2, "B"), (3, "c")], NEWS), 1)
-    assert rows(target) == [(1, "a"), (2, "B"), (3, "c")]
+    put(src, "b.json", [(2, "older", 4), (3, "c", 1), (3, "d", 2)])
+    ig.upsert_stream(numbered(spark, src), target, cp)
+    ig.upsert_stream(numbered(spark, src), target, cp)  # nothing new
+    assert rows(target) == [(1, "a"), (2, "b"), (3, "d")]
+    # A second stream with a checkpoint of its own starts at batch 0 again and hides nothing.
+    put(tmp_path / "more", "c.json", [(1, "A", 9), (4, "e", 1)])
+    ig.upsert_stream(numbered(spark, tmp_path / "more"), target, str(tmp_path / "cp2"))
+    assert rows(target) == [(1, "A"), (2, "b"), (3, "d"), (4, "e")]
+    # A repeated batch replaces its own rows only.
+    again = spark.createDataFrame([(4, "e", 1), (1, "A", 9)], NEWS + ", seq long")
+    target.write(again, ig._source(spark, str(tmp_path / "cp2")), 0)
+    assert rows(target) == [(1, "A"), (2, "b"), (3, "d"), (4, "e")]
+    assert rows(target.compact(str(tmp_path / "small"))) == rows(target)
 
 
 def test_counts_do_not_depend_on_batches(spark, tmp_path):
@@ -44,7 +59,8 @@ def test_counts_do_not_depend_on_batches(spark, tmp_path):
         src = tmp_path / f"in{parts}"
         for p in range(parts):
             drop(src, f"{p}.json", data[p::parts])
-        t = ig.VersionedTable(spark, str(tmp_path / f"out{parts}"), spark.createDataFrame([], "title string, n long").schema)
+        t = ig.DeltaTable(spark, str(tmp_path / f"out{parts}"), spark.createDataFrame([], "title string, n long").schema,
+                          ig.summed(["title"]))
         ig.rollup_table_stream(stream(spark, src), t, ["title"], str(tmp_path / f"cp{parts}"))
         got.append(sorted((r.title, r.n) for r in t.read().collect()))
     assert got[0] == got[1] == [("x", 4), ("y", 4), ("z", 4)]
@@ -53,9 +69,9 @@ def test_counts_do_not_depend_on_batches(spark, tmp_path):
 def test_seen_rows_are_skipped(spark, tmp_path):
     drop(tmp_path / "in", "a.json", [(1, "a"), (1, "a2"), (2, "b")])
     drop(tmp_path / "in", "b.json", [(2, "late"), (3, "c")])
-    t = table(spark, tmp_path / "out")
+    t = ig.DeltaTable(spark, str(tmp_path / "out"), spark.createDataFrame([], NEWS).schema, ig.first_by_key("id", ["title"]))
     ig.skip_seen_stream(stream(spark, tmp_path / "in"), t, "id", str(tmp_path / "cp"))
-    assert [i for i, _ in rows(t)] == [1, 2, 3]
+    assert [i for i, _ in rows(t)] == [1, 2, 3] and t.deltas().count() == 3
 
 
 def test_ingest_meetings(spark, tmp_path):
