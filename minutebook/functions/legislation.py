@@ -160,6 +160,11 @@ def move_suffix(df: DataFrame, suffixes, description: str = "description",
     )
 
 
+def action_categories() -> list[str]:
+    """Every value of :func:`final_action_category`."""
+    return list(dict.fromkeys(c for _, c in ACTION_CATEGORIES)) + ["MISSING", "OTHER"]
+
+
 def final_action_category(action: Column) -> Column:
     up = F.upper(action)
     missing = F.coalesce(action, F.lit("")).isin("", "MISSING")

@@ -34,6 +34,7 @@ def _accent_table() -> tuple[str, str]:
 
 
 ACCENTS = _accent_table()
+_FOLDED = str.maketrans(*ACCENTS)  # the same fold for queries as for documents
 
 
 def fold(c: Column) -> Column:
@@ -117,30 +118,95 @@ class Clause:
 
 def _atom(text: str) -> Atom | None:
     prefix = text.endswith("*")
-    plain = "".join(ch for ch in unicodedata.normalize("NFD", text.lower())
-                    if not unicodedata.combining(ch))
+    plain = text.lower().translate(_FOLDED)
     words = tuple(re.findall(r"[^\W_]+", plain))
     return Atom(words, prefix) if words else None
 
 
-def parse_query(query: str) -> list[Clause]:
-    """The documented forms: words (all must match), ``OR``, ``NOT`` or ``-word``,
-    ``"a phrase"`` and ``prefix*``.  Alternatives are returned one by one."""
-    straight = query.translate(str.maketrans("“”", '""'))
-    clauses: list[tuple[list, list]] = [([], [])]
-    negate = False
-    for piece in re.findall(r'-?"[^"]*"\*?|[^\s"]+', straight):
-        if piece == "OR":
-            clauses.append(([], []))
-        elif piece == "NOT":
-            negate = True
-        elif piece != "AND":
-            out = negate or (piece.startswith("-") and len(piece) > 1)
+MOST_CLAUSES = 64
+
+
+class _Parser:
+    """Recursive descent over pieces; every level returns alternatives of (required, excluded) atoms."""
+
+    def __init__(self, query: str):
+        straight = query.translate(str.maketrans("“”", '""'))
+        self.pieces = re.findall(r'-?"[^"]*"\*?|-?\(|\)|[^\s"()]+', straight)
+        self.at = 0
+
+    def peek(self) -> str | None:
+        return self.pieces[self.at] if self.at < len(self.pieces) else None
+
+    def take(self) -> str:
+        self.at += 1
+        return self.pieces[self.at - 1]
+
+    def either(self) -> list:
+        found = self.all_of()
+        while self.peek() == "OR":
+            self.take()
+            found = found + self.all_of()
+        return found
+
+    def all_of(self) -> list:
+        found = [((), ())]
+        while self.peek() not in (None, ")", "OR"):
+            if self.peek() == "AND":
+                self.take()
+                continue
+            found = [(r + p, x + q) for r, x in found for p, q in self.one()]
+            if len(found) > MOST_CLAUSES:
+                raise ValueError(f"the query has more than {MOST_CLAUSES} alternatives")
+        return found
+
+    def one(self) -> list:
+        out = False
+        while self.peek() == "NOT":
+            self.take()
+            out = not out
+        if self.peek() in (None, ")", "OR", "AND"):
+            return [((), ())]
+        piece = self.take()
+        if piece.startswith("-") and len(piece) > 1:
+            out, piece = not out, piece[1:]
+        if piece == "(":
+            found = self.either()
+            if self.peek() != ")":
+                raise ValueError("a parenthesis is not closed")
+            self.take()
+        else:
+            if re.match(r"[^\W\d]+:[^\s]", piece):
+                raise ValueError(f"fields cannot be named in a query: {piece}")
             atom = _atom(piece)
-            if atom:
-                clauses[-1][1 if out else 0].append(atom)
-            negate = False
-    return [Clause(tuple(r), tuple(x)) for r, x in clauses if r]
+            found = [((atom,), ())] if atom else [((), ())]
+        return self.negated(found) if out else found
+
+    @staticmethod
+    def negated(found: list) -> list:
+        """De Morgan: one literal of every alternative must fail."""
+        result = [((), ())]
+        for required, excluded in found:
+            parts = [((), (a,)) for a in required] + [((a,), ()) for a in excluded]
+            result = [(r + p, x + q) for r, x in result for p, q in parts] if parts else result
+            if len(result) > MOST_CLAUSES:
+                raise ValueError(f"the query has more than {MOST_CLAUSES} alternatives")
+        return result
+
+
+def parse_query(query: str) -> list[Clause]:
+    """Words (all must match), ``OR``, ``NOT`` or ``-word``, ``"a phrase"``, ``prefix*``
+    and parentheses.  Alternatives are returned one by one.
+
+    A query that only excludes, names a field or leaves a parenthesis open is
+    refused rather than answered in part.
+    """
+    parser = _Parser(query)
+    found = parser.either()
+    if parser.peek() is not None:
+        raise ValueError("a parenthesis is closed that was not opened")
+    if any(x and not r for r, x in found):
+        raise ValueError("a query needs something to look for, not only exclusions")
+    return [Clause(tuple(dict.fromkeys(r)), tuple(dict.fromkeys(x))) for r, x in found if r]
 
 
 def _slots(atoms) -> list[tuple[str, bool]]:
@@ -252,9 +318,10 @@ def filtered(ranked: DataFrame, meta: DataFrame, date_from: str | None = None,
 
 
 def result_page(found: DataFrame, sort: str = "relevance", page: int = 1, size: int = 20,
-                date: str = "legislation_date") -> DataFrame:
-    """One page of at most 100 rows."""
-    size = max(1, min(size, 100))
+                date: str = "legislation_date", most: int = 100) -> DataFrame:
+    """One page; a size above ``most`` is refused, not cut."""
+    if not 1 <= size <= most:
+        raise ValueError(f"a page has 1 to {most} rows")
     best = [F.col("score").desc(), F.col("doc_id").asc()]
     order = {"date_desc": [F.col(date).desc()] + best,
              "date_asc": [F.col(date).asc()] + best}.get(sort, best)
@@ -294,3 +361,23 @@ def snippet(df: DataFrame, text: str, span: int = 40, left: str = "<mark>", righ
         F.when(F.col("_from") > 0, more).otherwise(""), body,
         F.when(F.col("_to") < F.size("_w"), more).otherwise(""))) \
         .drop("_w", "_open", "_close", "_from", "_to")
+
+
+def search_documents(postings: DataFrame, lengths: DataFrame, docs: DataFrame, query: str, text: str = "text",
+                     sort: str = "relevance", page: int = 1, size: int = 20, **filters) -> DataFrame:
+    """A page of search results with ``score``, ``snippet`` and the ``total`` of all pages.
+
+    Texts are fetched for the rows of the page only.
+    """
+    found = filtered(search(postings, lengths, query), docs.drop(text), **filters)
+    shown = result_page(found, sort, page, size).withColumn("total", found.agg(F.count("*")).scalar())
+    return snippet(shown.join(docs.select("doc_id", text), "doc_id"), text)
+
+
+def search_news(postings: DataFrame, lengths: DataFrame, news: DataFrame, query: str, limit: int = 50,
+                include_hidden: bool = False) -> DataFrame:
+    """The best ``limit`` news rows with their score; hidden rows only on request."""
+    hidden = F.coalesce(F.col("is_hidden").cast("boolean"), F.lit(False))
+    rows = news if include_hidden else news.where(~hidden)
+    ranked = search(postings, lengths, query).select(F.col("doc_id").alias("id"), "score")
+    return ranked.join(rows, "id").orderBy(F.col("score").desc(), F.col("id").asc()).limit(limit)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from minutebook.functions.dates import office_rank, office_section
 from minutebook.functions.text import squeeze, strip
+from minutebook.operators.tables import materialize
 
 
 def samples_per_group(df: DataFrame, group, order: list[str], n: int) -> DataFrame:
@@ -49,19 +50,31 @@ def group_lines(lines: DataFrame, doc: str, pos: str, line: str,
 
 def failure_cutoff(results: DataFrame, n: int, id_col: str = "id", miss: str = "miss",
                    bucket: int = 1 << 20) -> DataFrame:
-    """First id at which ``n`` tries in a row have missed (NULL if none).
+    """Id of the first try at which ``n`` tries in a row have missed (NULL if none).
 
-    Ids are cut into buckets; the last ``n - 1`` ids of a bucket are also given
-    to the next one, so runs across a border are seen without one global order.
+    Tries are counted, not ids: ids that were skipped do not end a run.  Tries
+    are numbered inside ranges of ids and the ranges' counts added up; the last
+    ``n - 1`` numbers of a bucket are also given to the next one, so runs across
+    a border are seen without one global order.
     """
-    key = F.floor(F.col(id_col) / bucket)
-    tail = F.pmod(F.col(id_col), F.lit(bucket)) >= bucket - (n - 1)
+    if not 1 <= n <= bucket:
+        raise ValueError("n must be at least 1 and at most the width of a bucket")
+    rows = results.select(F.col(id_col).alias("_id"), F.coalesce(F.col(miss).cast("int"), F.lit(0)).alias("_m"),
+                          F.floor(F.col(id_col) / bucket).alias("_range"))
+    sizes = rows.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_range").orderBy("_id"))
+    tries = rows.withColumn("_row", within).join(offsets, "_range").select(
+        "_id", "_m", (F.col("_before") + F.col("_row")).alias("_try"))
+    key = F.floor(F.col("_try") / bucket)
+    tail = F.pmod(F.col("_try"), F.lit(bucket)) >= bucket - (n - 1)
     copies = F.when(tail, F.array(key, key + 1)).otherwise(F.array(key))
-    spread = results.select(id_col, F.col(miss).cast("int").alias("_m"), F.explode(copies).alias("_b"))
-    back = Window.partitionBy("_b").orderBy(id_col).rangeBetween(-(n - 1), 0)
+    spread = tries.select("_id", "_try", "_m", F.explode(copies).alias("_b"))
+    back = Window.partitionBy("_b").orderBy("_try").rangeBetween(-(n - 1), 0)
     return (spread.withColumn("_run", F.sum("_m").over(back))
             .where((F.col("_run") == n) & (F.col("_m") == 1))
-            .agg(F.min(id_col).alias("cutoff_id")))
+            .agg(F.min("_id").alias("cutoff_id")))
 
 
 def page(df: DataFrame, order: list, number: int, size: int) -> DataFrame:
@@ -80,6 +93,23 @@ def page_after(df: DataFrame, key: str, last, size: int, descending: bool = True
     return df.orderBy(F.col(key).desc() if descending else F.col(key).asc()).limit(size)
 
 
+def positions(ordered: DataFrame, name: str = "pos") -> DataFrame:
+    """Number the rows of a sorted table from 1.
+
+    Range partitions are counted and the counts added up, so no task sees more
+    than its own part.  The sorted table is written once, as its cut must not
+    change between the two passes.
+    """
+    number = F.monotonically_increasing_id()
+    kept = materialize(ordered.select("*", F.shiftright(number, 33).alias("_part"),
+                                      number.bitwiseAND(F.lit((1 << 33) - 1)).alias("_row")), "ordered")
+    sizes = kept.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return (kept.join(offsets, "_part").withColumn(name, F.col("_before") + F.col("_row") + 1)
+            .drop("_part", "_row", "_before"))
+
+
 def sort_rows(df: DataFrame, column: str, descending: bool = False, tie: str = "id") -> DataFrame:
     """Sort by one column, empty values last in both directions."""
     c = F.col(column)
@@ -109,11 +139,12 @@ def sort_roster(df: DataFrame, order: str, orders=ROSTER_ORDERS) -> DataFrame:
     return df.orderBy(key, F.col("name").asc())
 
 
-def sample_endings(df: DataFrame, text: str, n: int, seed: int = 42, width: int = 100) -> DataFrame:
-    """Last characters of ``n`` randomly chosen texts."""
+def sample_endings(df: DataFrame, text: str, n: int, seed: int = 42, width: int = 100,
+                   tie: str = "id") -> DataFrame:
+    """Last characters of ``n`` randomly chosen texts; one seed always chooses the same."""
     t = F.col(text)
     return (df.where(F.coalesce(t, F.lit("")) != "")
-            .orderBy(F.rand(seed)).limit(n)
+            .orderBy(F.md5(F.concat_ws("-", F.lit(str(seed)), F.col(tie).cast("string"))), tie).limit(n)
             .select(F.right(F.trim(t), F.lit(width)).alias("ending")))
 
 

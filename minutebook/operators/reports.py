@@ -140,14 +140,25 @@ def amount_report(df: DataFrame, group: str, median: bool = False) -> DataFrame:
     return base.join(upper_median(values, group), group, "left")
 
 
-def upper_median(values: DataFrame, group: str) -> DataFrame:
-    """Element ``n // 2`` of the sorted amounts, from (group, amount, _c) counts."""
-    down = Window.partitionBy(group).orderBy(F.col("amount").asc())
-    every = Window.partitionBy(group)
-    ranked = (values.withColumn("_upto", F.sum("_c").over(down))
-              .withColumn("_n", F.sum("_c").over(every)))
+def upper_median(values: DataFrame, group: str, ranges: int = 1024) -> DataFrame:
+    """Element ``n // 2`` of the sorted amounts, from (group, amount, _c) counts.
+
+    Counts per range of amounts, at most ``ranges`` for each group, show which
+    range holds the middle; only the amounts of that range are ordered.
+    """
+    span = values.groupBy(group).agg(F.min("amount").alias("_low"), F.max("amount").alias("_high"), F.sum("_c").alias("_n"))
+    width = (F.col("_high") - F.col("_low")).cast("double")
+    share = (F.col("amount") - F.col("_low")).cast("double") / width
+    cut = values.join(span, group).withColumn("_range", F.when(width > 0, F.floor(share * (ranges - 1))).otherwise(0))
+    sums = cut.groupBy(group, "_range", "_n").agg(F.sum("_c").alias("_in"))
+    before = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
     middle = F.floor(F.col("_n") / 2)
-    return (ranked.where((F.col("_upto") > middle) & (F.col("_upto") - F.col("_c") <= middle))
+    held = (sums.withColumn("_upto", F.sum("_in").over(before))
+            .where((F.col("_upto") > middle) & (F.col("_upto") - F.col("_in") <= middle))
+            .select(group, "_range", (middle - (F.col("_upto") - F.col("_in"))).alias("_skip")))
+    down = Window.partitionBy(group).orderBy(F.col("amount").asc())
+    return (cut.join(held, [group, "_range"]).withColumn("_upto", F.sum("_c").over(down))
+            .where((F.col("_upto") > F.col("_skip")) & (F.col("_upto") - F.col("_c") <= F.col("_skip")))
             .select(group, F.col("amount").alias("median")))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from minutebook.functions.legislation import final_action_category
+from minutebook.functions.legislation import action_categories, final_action_category
 from minutebook.operators.joins import with_share
 
 PERIODS = {"year": 4, "month": 7, "date": 10, "term": 4}
@@ -169,8 +169,12 @@ def adoption_rate(items: DataFrame) -> DataFrame:
         F.min(year).alias("first_period"), F.max(year).alias("last_period"))
 
 
-def action_pivot(items: DataFrame, categories: list[str], group_by: str = "year") -> DataFrame:
-    """Period x action matrix, zero filled.  Naming the columns saves a pass over the data."""
+def action_pivot(items: DataFrame, categories: list[str] | None = None, group_by: str = "year") -> DataFrame:
+    """Period x action matrix, zero filled, over all categories unless some are chosen.
+
+    Naming the columns saves a pass over the data.
+    """
+    categories = categories or action_categories()
     return (items.groupBy(period_of(F.col("date"), group_by).alias("period"))
             .pivot("category", categories).count().na.fill(0))
 

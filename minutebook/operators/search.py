@@ -117,11 +117,11 @@ def items_by_final_action(items: DataFrame, value: str) -> DataFrame:
             .orderBy(F.col("date").desc(), F.col("id").asc()))
 
 
-def items_by_date(items: DataFrame, day: str) -> DataFrame:
+def items_by_date(items: DataFrame, day: str | Column) -> DataFrame:
     """One day's items; the year filter prunes partitions of a stored table."""
     df = items
     if "year" in items.columns:
-        df = df.where(F.col("year") == int(day[:4]))
+        df = df.where(F.col("year") == F.substring(F.lit(day), 1, 4).cast("int"))
     return df.where(F.col("date") == day)
 
 
@@ -177,7 +177,8 @@ def lookup_items(ids: DataFrame, items: DataFrame, details: DataFrame | None = N
     if by_id_only:
         df = df.withColumn("_hit", F.col("_own")).withColumn("matched_by", F.lit("id"))
     else:
-        doc = (items.where(F.col("meetingDocId").isNotNull())
+        doc = (items.join(wanted.withColumnRenamed("lookup_id", "meetingDocId"), "meetingDocId", "left_semi")
+               .select(*items.columns)  # a join by name moves its key to the front
                .groupBy(F.col("meetingDocId").alias("lookup_id")).agg(first.alias("_doc")))
         df = (df.join(doc, "lookup_id", "left")
               .withColumn("_hit", F.coalesce("_doc", "_own"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from minutebook.operators import fulltext as ft, search as se
@@ -32,10 +33,9 @@ def _(spark, sf):
 
 @query("f1_search_typed", """
 SELECT id, date, number, (length(description) - length(replace(description, 'CITY', ''))) // 4 AS score
-FROM items WHERE type_name = 'Report' AND contains(description, 'CITY')
-ORDER BY date DESC, id LIMIT 50""")
+FROM items WHERE type_name = 'Report' AND contains(description, 'CITY')""")
 def _(spark, sf):
-    return se.search_items(items(spark, sf), "city", field="description", leg_type="report", limit=50) \
+    return se.search_items(items(spark, sf), "city", field="description", leg_type="report") \
         .select("id", "date", "number", "score")
 
 
@@ -98,9 +98,8 @@ def _(spark, sf):
 SELECT id, number, count(*) OVER () AS n FROM legis_items WHERE date = (SELECT max(date) FROM legis_items)""")
 def _(spark, sf):
     base = fixture(spark, sf, "legis_items")
-    day = base.where(F.col("date") == base.agg(F.max("date")).scalar())
-    n = day.agg(F.count("*")).scalar()
-    return day.select("id", "number").withColumn("n", n)
+    day = se.items_by_date(base, base.agg(F.max("date")).scalar())
+    return day.select("id", "number").withColumn("n", day.agg(F.count("*")).scalar())
 
 
 @query("f7_items_on_a_date", "SELECT id, number FROM legis_items WHERE date = '1995-06-15'")
@@ -355,15 +354,16 @@ def _(spark, sf):
 
 
 @query("x6_search_news", """
-SELECT id FROM news WHERE COALESCE(is_hidden, 0) = 0 AND type = 'purchase' ORDER BY id LIMIT 50""")
+SELECT id, row_number() OVER (ORDER BY length, id) AS place FROM (
+  SELECT id, len(list_filter(string_split_regex(lower(content), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS length FROM news
+  WHERE COALESCE(is_hidden, 0) = 0 AND type = 'purchase') QUALIFY place <= 50""")
 def _(spark, sf):
+    # Each hit holds the word once, so the shorter rows rank first.
     rows = news(spark, sf)
-    postings = ft.build_postings(rows, "id", ["type", "content"])
-    lengths = ft.document_lengths(rows, "id", ["type", "content"])
-    shown = ft.rank(ft.match(postings, "purchase"), lengths).join(
-        se.visible(rows).select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-    # Every hit has the same weight here up to its length, so the page is cut by id.
-    return shown.select(F.col("doc_id").alias("id")).orderBy("id").limit(50)
+    found = ft.search_news(ft.build_postings(rows, "id", ["type", "content"]),
+                           ft.document_lengths(rows, "id", ["type", "content"]), rows, "purchase")
+    place = F.row_number().over(Window.orderBy(F.col("score").desc(), "id"))
+    return found.select("id", place.cast("long").alias("place"))
 
 
 @query("a21_corpus_stats", f"""

@@ -61,32 +61,22 @@ def _(spark, sf):
                       F.col("char_count").cast("long").alias("char_count"), "doc_id")
 
 
-@query("s4_read_text_files", """
-SELECT concat('src-', source, '-', lang) AS stem, sum(length(text) + 1) AS char_count FROM documents GROUP BY source, lang""")
+@query("s4_read_text_files", "SELECT sum(length(text) + 1) AS char_count FROM documents")
 def _(spark, sf):
-    # One folder of text files per (source, lang); every file is read whole.
+    # Every file is read whole; their size is bounded by their number of lines.
     path = scratch_dir(spark, "texts")
-    named = table(spark, sf, "documents").select(F.concat_ws("-", F.lit("src"), "source", "lang").alias("stem"),
-                                                 F.col("text").alias("value"))
-    named.write.partitionBy("stem").text(path)
-    read = docs.read_text_corpus(spark, path)
-    folder = F.regexp_extract(F.col("_metadata.file_path"), r"stem=([^/]+)/", 1)
-    texts = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True) \
-        .select(folder.alias("stem"), F.col("value").alias("text"))
-    assert read.columns == ["stem", "text", "char_count"]
-    return docs.clean_corpus(texts).groupBy("stem").agg(F.sum("char_count").alias("char_count"))
+    table(spark, sf, "documents").select(F.col("text").alias("value")).write.option("maxRecordsPerFile", 200).text(path)
+    return docs.read_text_corpus(spark, path).agg(F.sum("char_count").alias("char_count"))
 
 
 @query("s5_read_api_docs", """SELECT id % 40 AS doc_id, count(*) AS n, min(number) AS first_number FROM legis_items GROUP BY 1""")
 def _(spark, sf):
     path = scratch_dir(spark, "api")
-    rows = fixture(spark, sf, "legis_items").select((F.col("id") % 40).alias("k"), F.col("number").alias("FormalNumber"))
-    rows.write.partitionBy("k").json(path)
-    # Files keep the writer's names, so the id is taken from the folder with the reader's own rule.
-    raw = spark.read.schema("FormalNumber string").option("recursiveFileLookup", True).json(path)
-    name = F.concat(F.lit("meeting_doc_"), F.lpad(F.regexp_extract(F.col("_metadata.file_path"), r"k=(\d+)", 1), 5, "0"))
-    return (raw.select(F.regexp_extract(name, r"meeting_doc_(\d+)", 1).try_cast("long").alias("doc_id"), "FormalNumber")
-            .groupBy("doc_id").agg(F.count("*").alias("n"), F.min("FormalNumber").alias("first_number")))
+    name = F.concat(F.lit("meeting_doc_"), F.lpad((F.col("id") % 40).cast("string"), 5, "0"))
+    rows = fixture(spark, sf, "legis_items").select(name.alias("doc"), F.col("number").alias("FormalNumber"))
+    rows.write.partitionBy("doc").json(path)
+    return (mt.read_api_docs(spark, path).groupBy("doc_id")
+            .agg(F.count("*").alias("n"), F.min("FormalNumber").alias("first_number")))
 
 
 @query("s6_write_report", f"""
@@ -109,22 +99,17 @@ def detail_results(spark, sf):
     return p.select(
         F.when(F.col("page_id") % 9 != 0, F.col("page_id")).alias("id"), "url",
         (F.col("page_id") % 4 != 0).alias("success"), F.lit("2024-01-01").alias("scraped_at"),
-        F.struct(F.substring("html", 1, 200).alias("text"), F.col("html").alias("html")).alias("content"))
+        F.struct(F.col("html").alias("text"), F.col("html").alias("html")).alias("content"))
 
 
 @query("s7_read_details", """
-SELECT page_id AS id, md5(html) AS html FROM pages WHERE page_id % 9 <> 0""")
+SELECT page_id AS id, md5(html) AS html, md5(html) AS text FROM pages WHERE page_id % 9 <> 0""")
 def _(spark, sf):
     path = scratch_dir(spark, "details")
     rows = detail_results(spark, sf).where("id IS NOT NULL")
-    flat = rows.where("id % 2 = 0").select("id", "content")
-    nested = rows.where("id % 2 = 1").select(F.array(F.struct("id", "content")).alias("results"))
-    # One record per file in the stored layout; here the lines of a file are read one by one.
-    flat.write.json(path + "/a")
-    nested.write.json(path + "/b")
-    from minutebook.schemas import DETAIL_FILE
-    raw = spark.read.schema(DETAIL_FILE).option("recursiveFileLookup", True).json(path)
-    return docs.detail_content(raw).select("id", F.md5("content.html").alias("html"))
+    rows.where("id % 2 = 0").select("id", "content").write.json(path + "/a")
+    rows.where("id % 2 = 1").select(F.array(F.struct("id", "content")).alias("results")).write.json(path + "/b")
+    return docs.read_details(spark, path).select("id", F.md5("content.html").alias("html"), F.md5("content.text").alias("text"))
 
 
 @query("s8_split_details", """
@@ -135,9 +120,19 @@ def _(spark, sf):
     return docs.detail_outcomes(detail_results(spark, sf))
 
 
-@query("s8_kept_details", "SELECT page_id AS id, url FROM pages WHERE page_id % 9 <> 0 AND page_id % 4 <> 0")
+@query("s8_kept_details", """
+SELECT page_id AS id, url, md5(html) AS text FROM pages WHERE page_id % 9 <> 0 AND page_id % 4 <> 0""")
 def _(spark, sf):
-    return docs.split_details(detail_results(spark, sf)).select("id", "url")
+    path = scratch_dir(spark, "kept")
+    docs.store_details(detail_results(spark, sf), path)
+    return spark.read.parquet(path).select("id", "url", F.md5("content.text").alias("text"))
+
+
+@query("s8_stored_detail", "SELECT page_id AS id, url FROM pages WHERE page_id = 7")
+def _(spark, sf):
+    path = scratch_dir(spark, "kept")
+    docs.store_details(detail_results(spark, sf), path)
+    return docs.stored_detail(spark, path, 7).select("id", "url")
 
 
 @query("s9_read_run_log", """
@@ -173,6 +168,32 @@ def _(spark, sf):
         "id", "type", F.coalesce("is_hidden", F.lit(False)).alias("hidden"), "content_text", "title")
 
 
+@query("s10_all_tables", """
+SELECT 'documents' AS name, count(*) AS n, count(*) AS filled FROM documents
+UNION ALL SELECT 'news', count(*), count(type) FROM news
+UNION ALL SELECT 'news_links', count(*), count(url) FROM pages
+UNION ALL SELECT 'pp_packages', count(*), count(o_orderdate) FROM orders
+UNION ALL SELECT 'pp_items', count(*), count(l_linenumber) FROM lineitem""")
+def _(spark, sf):
+    base = scratch_dir(spark, "tables")
+    inputs = {
+        "documents": (table(spark, sf, "documents").select(
+            F.col("doc_id").cast("string").alias("paper_number"), F.col("text").alias("text_content")), "text_content"),
+        "news": (fixture(spark, sf, "news"), "type"),
+        "news_links": (table(spark, sf, "pages").select(F.col("page_id").alias("news_id"), F.col("url").alias("href")), "href"),
+        "pp_packages": (table(spark, sf, "orders").select(
+            F.col("o_orderkey").alias("id"), F.to_date("o_orderdate").cast("string").alias("meeting_date")), "meeting_date"),
+        "pp_items": (table(spark, sf, "lineitem").select(
+            F.col("l_orderkey").alias("package_id"), F.col("l_linenumber").alias("row_num")), "row_num")}
+    found = None
+    for name, (rows, column) in inputs.items():
+        rp.write_table(rows, name, f"{base}/{name}")
+        one = rp.read_table(spark, name, f"{base}/{name}").agg(F.count("*").alias("n"), F.count(column).alias("filled"))
+        one = one.select(F.lit(name).alias("name"), "n", "filled")
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
 @query("s11_write_values", "SELECT DISTINCT number AS value FROM legis_items")
 def _(spark, sf):
     base = scratch_dir(spark, "values")

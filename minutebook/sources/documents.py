@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from minutebook import schemas
+from minutebook.sources.meetings import CORRUPT, json_records
 from minutebook.functions.text import strip
 
 # --- fixed values -----------------------------------------------------------
@@ -37,21 +38,31 @@ def skipped_ocr_docs(corpus: DataFrame, manifest: DataFrame, key: str = "stem")
 
 
 def read_details(spark: SparkSession, path: str) -> DataFrame:
-    """Detail pages in either layout: ``content`` or ``results[0].content``."""
-    raw = (spark.read.schema(schemas.DETAIL_FILE).option("multiLine", True)
-           .option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(path))
-    return detail_content(raw)
+    """Detail pages in either layout, ``content`` or ``results[0].content``; one per file or one per stored line."""
+    return detail_content(json_records(spark, path, schemas.DETAIL_FILE).where(F.col(CORRUPT).isNull()))
 
 
 def detail_content(raw: DataFrame) -> DataFrame:
     """(id, content) of detail records; the id may have to come from the file name."""
-    stem = F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "")
+    stem = F.regexp_replace("_file", r"\.json$", "")
     first = F.get("results", F.lit(0))
     return raw.select(
         F.coalesce(F.col("id"), first["id"], stem.try_cast("long")).alias("id"),
         F.coalesce(F.col("content"), first["content"]).alias("content"))
 
 
+def store_details(results: DataFrame, path: str, buckets: int = 64, mode: str = "overwrite") -> None:
+    """Store the results worth keeping by id: one folder per id modulo ``buckets``."""
+    (split_details(results).withColumn("bucket", F.pmod("id", F.lit(buckets)).cast("int"))
+     .write.mode(mode).partitionBy("bucket").parquet(path))
+
+
+def stored_detail(spark: SparkSession, path: str, detail_id: int, buckets: int = 64) -> DataFrame:
+    """The stored result of one id; reads one folder."""
+    kept = spark.read.parquet(path)
+    return kept.where((F.col("bucket") == detail_id % buckets) & (F.col("id") == detail_id)).drop("bucket")
+
+
 def classify_results(results: DataFrame) -> DataFrame:
     """Add ``outcome``: successful, failed or skipped (no id)."""
     no_id = F.col("id").isNull() | (F.col("id") == 0)

@@ -11,7 +11,7 @@ from minutebook import schemas
 CORRUPT = "_corrupt"
 
 
-def _json(spark: SparkSession, path, schema: T.StructType, lines: bool | None = None) -> DataFrame:
+def json_records(spark: SparkSession, path, schema: T.StructType, lines: bool | None = None) -> DataFrame:
     """Records of JSON files, with the file's name and folder year.
 
     Files that Spark wrote (``part-...``) hold one record per line; all others
@@ -50,7 +50,7 @@ def read_meetings(spark: SparkSession, path: str, date_from: str | None = None,
     it are not opened; a range without files gives no rows.  Records that do
     not parse are left out here and returned by :func:`read_rejects`.
     """
-    raw = _json(spark, path, schemas.MEETING, lines)
+    raw = json_records(spark, path, schemas.MEETING, lines)
     if date_from:
         raw = raw.where((F.col("_year") == "") | (F.col("_year") >= date_from[:4]))
     if date_to:
@@ -73,7 +73,7 @@ def explode_items(meetings: DataFrame, outer: bool = False) -> DataFrame:
 
 def read_meeting_dates(spark: SparkSession, path: str, lines: bool | None = None) -> DataFrame:
     """One row per meeting date with its item count, empty meetings included."""
-    raw = _json(spark, path, schemas.MEETING, lines).where(F.col(CORRUPT).isNull())
+    raw = json_records(spark, path, schemas.MEETING, lines).where(F.col(CORRUPT).isNull())
     return (raw.groupBy(F.coalesce("date", _stem()).alias("date"))
             .agg(F.sum(F.coalesce(F.array_size("data"), F.lit(0))).alias("items")))
 
@@ -83,7 +83,7 @@ def read_rejects(spark: SparkSession, path: str, schema: T.StructType = schemas.
     """Records of any of these readers that do not parse, with their raw text."""
     # The reader refuses plans that touch the raw text alone, hence the second test.
     some = schema.fields[0].name
-    return (_json(spark, path, schema, lines)
+    return (json_records(spark, path, schema, lines)
             .where(F.col(CORRUPT).isNotNull() & (F.col(some).isNull() | F.col(some).isNotNull()))
             .select(F.col("_file").alias("file_name"), CORRUPT))
 
@@ -138,7 +138,7 @@ def read_items(spark: SparkSession, path: str, year_from: int | None = None,
 
 def read_roster(spark: SparkSession, path: str, lines: bool | None = None) -> DataFrame:
     """One row per member with the array of terms; see :func:`read_rejects` for files that do not parse."""
-    return (_json(spark, path, schemas.ROSTER, lines).where(F.col(CORRUPT).isNull())
+    return (json_records(spark, path, schemas.ROSTER, lines).where(F.col(CORRUPT).isNull())
             .select(F.inline("councilmembers")))
 
 
@@ -154,7 +154,7 @@ def roster_terms(roster: DataFrame) -> DataFrame:
 
 
 def read_committees(spark: SparkSession, path: str, lines: bool | None = None) -> DataFrame:
-    return (_json(spark, path, schemas.COMMITTEES, lines).where(F.col(CORRUPT).isNull())
+    return (json_records(spark, path, schemas.COMMITTEES, lines).where(F.col(CORRUPT).isNull())
             .select(F.inline("committees")))
 
 
@@ -170,7 +170,7 @@ def replace_committees(committees: DataFrame, path: str) -> None:
 
 def read_api_docs(spark: SparkSession, path: str) -> DataFrame:
     """API documents with the id taken from ``meeting_doc_00123.json``, as a file or as a folder of parts."""
-    raw = _json(spark, path, schemas.API_DOCUMENT)
+    raw = json_records(spark, path, schemas.API_DOCUMENT)
     doc_id = F.regexp_extract("_path", r"meeting_doc_(\d+)", 1)
     return (raw.where(F.col(CORRUPT).isNull())
             .select(doc_id.try_cast("long").alias("doc_id"), "FormalNumber"))

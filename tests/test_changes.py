@@ -46,6 +46,16 @@ def test_joins_and_windows(spark):
     for bucket in (4, 5, 10, 100):
         assert ranking.failure_cutoff(tries, 3, bucket=bucket).first().cutoff_id == 11
     assert ranking.failure_cutoff(tries, 4, bucket=5).first().cutoff_id is None
+    gaps = spark.createDataFrame([(k, k in (1, 2, 4, 5)) for k in (0, 1, 2, 4, 5, 9)], "id long, miss boolean")
+    for bucket in (4, 5, 100):  # 3 was skipped, not a hit
+        assert ranking.failure_cutoff(gaps, 4, bucket=bucket).first().cutoff_id == 5
+    with pytest.raises(ValueError):
+        ranking.failure_cutoff(gaps, 5, bucket=4)
+    some = spark.range(100).selectExpr("id", "concat('text ', id) AS t")
+    one, two = (ranking.sample_endings(some.repartition(n), "t", 5).collect() for n in (1, 7))
+    assert one == two
+    placed = ranking.positions(some.orderBy(F.col("id").desc()))
+    assert {(r.id, r.pos) for r in placed.collect()} == {(k, 100 - k) for k in range(100)}
     t = rollups.council_terms(spark).collect()
     assert (t[0].label, t[-1].label, [x.label for x in t if x.is_current]) == ("1982-1985", "2026-2029", ["2022-2025"])
     ids = spark.createDataFrame([(" 7 ",), ("# 8",), ("x",), ("7",), ("",)], "value string")
