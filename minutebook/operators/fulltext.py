@@ -197,15 +197,13 @@ def parse_query(query: str) -> list[Clause]:
     """Words (all must match), ``OR``, ``NOT`` or ``-word``, ``"a phrase"``, ``prefix*``
     and parentheses.  Alternatives are returned one by one.
 
-    A query that only excludes, names a field or leaves a parenthesis open is
-    refused rather than answered in part.
+    A query that names a field or leaves a parenthesis open is refused rather
+    than answered in part; an alternative that only excludes matches nothing.
     """
     parser = _Parser(query)
     found = parser.either()
     if parser.peek() is not None:
         raise ValueError("a parenthesis is closed that was not opened")
-    if any(x and not r for r, x in found):
-        raise ValueError("a query needs something to look for, not only exclusions")
     return [Clause(tuple(dict.fromkeys(r)), tuple(dict.fromkeys(x))) for r, x in found if r]
 
 
