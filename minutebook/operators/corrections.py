@@ -163,7 +163,7 @@ def set_news_fields(news: DataFrame, patches: DataFrame) -> DataFrame:
     return df.select(*news.columns)
 
 
-def recategorize_news(news: DataFrame, html: str = "content_html") -> DataFrame:
+def set_news_types(news: DataFrame, html: str = "content_html") -> DataFrame:
     return news.withColumn("type", news_type(F.col(html)))
 
 

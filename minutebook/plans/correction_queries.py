@@ -176,7 +176,7 @@ def _(spark, sf):
 SELECT CASE WHEN page_id % 4 = 0 THEN 'News Release' WHEN page_id % 4 IN (1, 2) THEN 'Media Advisory' ELSE 'Unknown' END AS type, count(*) AS n FROM pages GROUP BY 1""")
 def _(spark, sf):
     stored = table(spark, sf, "pages").select("page_id", F.expr(TAGGED_HTML).alias("content_html"))
-    return reports.news_type_counts(co.recategorize_news(stored), include_hidden=True)
+    return reports.news_type_counts(co.set_news_types(stored), include_hidden=True)
 
 
 def paper_batch(spark, sf):
