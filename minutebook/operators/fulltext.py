@@ -82,16 +82,23 @@ def document_lengths(docs: DataFrame, doc_id: str, fields: list[str]) -> DataFra
     return docs.select(F.col(doc_id).alias("doc_id"), total.alias("length"))
 
 
+def corpus_totals(lengths: DataFrame) -> DataFrame:
+    """Number and mean length of the documents, to be stored with the index."""
+    return lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
+
+
 def write_index(postings: DataFrame, path: str, partitions: int | None = None) -> None:
-    """Store postings ordered by term.
+    """Store postings as ranges of (term, document).
 
-    By default every task writes the postings it built as one sorted file; the
-    build has no shuffle, and a lookup by term or prefix skips row groups and
-    pages on their minimum and maximum.  With ``partitions`` the files are then
-    rewritten as ranges of (term, document), which lets lookups skip whole files;
-    a term found in most documents is spread over several of them.
+    A lookup by term or prefix opens the files of its range only; a term found
+    in most documents is spread over several of them.  ``partitions`` is the
+    number of ranges (by default the session's shuffle width); with 0 every
+    task writes what it built as one sorted file, which saves the exchange of
+    postings and makes each lookup read the footer of every file.
     """
     keys = ["term", "doc_id"]
+    if partitions is None:
+        partitions = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if not partitions:
         postings.sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
         return
@@ -276,9 +283,12 @@ def match(postings: DataFrame, query: str | list[Clause]) -> DataFrame:
         reduce(lambda x, y: x | y, [holds(c) for c in clauses]).alias("matched"))
 
 
-def rank(matches: DataFrame, lengths: DataFrame) -> DataFrame:
-    """Add the BM25 ``score`` (higher is better) to the matched documents."""
-    corpus = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
+def rank(matches: DataFrame, lengths: DataFrame, totals: DataFrame | None = None) -> DataFrame:
+    """Add the BM25 ``score`` (higher is better) to the matched documents.
+
+    With the stored ``totals`` the length table is read for the hits alone.
+    """
+    corpus = corpus_totals(lengths) if totals is None else totals
     # Document frequency per atom: one pass, one small array.
     df = (matches.select(F.posexplode("hits").alias("i", "tf")).where("tf > 0")
           .groupBy("i").agg(F.count("*").alias("df"))
@@ -298,8 +308,8 @@ def rank(matches: DataFrame, lengths: DataFrame) -> DataFrame:
     return scored.withColumn("score", score).drop("_dfs", "_n", "_mean")
 
 
-def search(postings: DataFrame, lengths: DataFrame, query: str) -> DataFrame:
-    return rank(match(postings, query), lengths)
+def search(postings: DataFrame, lengths: DataFrame, query: str, totals: DataFrame | None = None) -> DataFrame:
+    return rank(match(postings, query), lengths, totals)
 
 
 def filtered(ranked: DataFrame, meta: DataFrame, date_from: str | None = None,
