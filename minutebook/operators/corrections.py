@@ -82,12 +82,14 @@ def parse_amount(raw: Column) -> tuple[Column, Column]:
 def patch_donations(donations: DataFrame, patches: DataFrame, key: str = "id") -> DataFrame:
     """Apply (id, field, value) patches to the editable columns.
 
-    A refused amount leaves the whole patch of that field out.  A NULL value
+    A refused amount leaves out the whole edit it belongs to: all patches of
+    that id, or of that id and ``seq`` where edits are numbered.  A NULL value
     clears the field.
     """
-    amount, fine = parse_amount(F.col("value"))
-    legal = patches.where(F.col("field").isin(*DONATION_FIELDS)) \
-        .where((F.col("field") != "amount") | fine) \
+    edit = [key, "seq"] if "seq" in patches.columns else [key]
+    amount, _ = parse_amount(F.col("value"))
+    refused = refused_amounts(patches).select(*edit).distinct()
+    legal = patches.where(F.col("field").isin(*DONATION_FIELDS)).join(refused, edit, "left_anti") \
         .withColumn("_amount", amount)
     order = F.col("seq") if "seq" in patches.columns else F.lit(0)
     fields = [f for f in DONATION_FIELDS if f in donations.columns]
@@ -129,12 +131,17 @@ def upsert_news(base: DataFrame, batch: DataFrame, fields=NEWS_CONTENT) -> DataF
 
 
 def upsert_report(base: DataFrame, batch: DataFrame) -> DataFrame:
-    """imported / updated / skipped counts; rows without id are skipped."""
+    """imported / updated / skipped counts; rows without id are skipped.
+
+    A new id that occurs more than once is imported once and then updated.
+    """
     have = base.select("id").distinct().withColumn("_old", F.lit(True))
-    outcome = (F.when(F.coalesce("id", F.lit(0)) == 0, "skipped")
-               .when(F.col("_old"), "updated").otherwise("imported"))
-    return (batch.join(have, "id", "left").groupBy(outcome.alias("outcome"))
-            .agg(F.count("*").alias("n")))
+    per_id = batch.groupBy(F.coalesce("id", F.lit(0)).alias("id")).agg(F.count("*").alias("_n")).join(have, "id", "left")
+    new = F.when(F.coalesce("_old", F.lit(False)), 0).otherwise(1)
+    kinds = F.when(F.col("id") == 0, F.array(F.struct(F.lit("skipped").alias("outcome"), F.col("_n").alias("n")))).otherwise(
+        F.array(F.struct(F.lit("imported").alias("outcome"), new.cast("long").alias("n")),
+                F.struct(F.lit("updated").alias("outcome"), (F.col("_n") - new).alias("n"))))
+    return (per_id.select(F.inline(kinds)).groupBy("outcome").agg(F.sum("n").alias("n")).where("n > 0"))
 
 
 def replace_links(links: DataFrame, batch_links: DataFrame, batch: DataFrame) -> DataFrame:

@@ -32,6 +32,12 @@ def test_upsert_and_fields(spark):
     got = {r.id: (r.title, r.admin_notes) for r in co.upsert_news(base, batch).collect()}
     assert got == {1: ("a", "n1"), 2: ("B", "n2"), 3: ("C", None)}
     assert {r.outcome: r.n for r in co.upsert_report(base, batch).collect()} == {"updated": 1, "imported": 1, "skipped": 2}
+    twice = batch.unionByName(spark.createDataFrame([(3, "C2")], "id long, title string"))
+    assert {r.outcome: r.n for r in co.upsert_report(base, twice).collect()} == {"updated": 2, "imported": 1, "skipped": 2}
+    gifts = spark.createDataFrame([(1, 5.0, "A", "p"), (2, 6.0, "B", "q")], "id long, amount double, donor string, purpose string")
+    edits = spark.createDataFrame([(1, "amount", "about 9"), (1, "donor", "Z"), (2, "amount", "1,000"), (2, "purpose", None)],
+                                  "id long, field string, value string")
+    assert [tuple(r) for r in co.patch_donations(gifts, edits).orderBy("id").collect()] == [(1, 5.0, "A", "p"), (2, 1000.0, "B", None)]
     flags = spark.createDataFrame([(1, "toggle"), (2, "false")], "id long, hidden string")
     assert {r.id: r.is_hidden for r in co.set_news_fields(base, flags).collect()} == {1: 1, 2: 0}
 
