@@ -74,7 +74,8 @@ def mix(docs: DataFrame, shares: dict[str | None, int] | None = None, source_col
         raise ValueError("block and shares must be positive whole numbers")
     spark = docs.sparkSession
     length = F.coalesce(size if size is not None else F.length(text_col), F.lit(0)).cast("long")
-    key = F.xxhash64(id_col, text_col)
+    # A hash that other engines have as well; the order it gives is the random order of a source.
+    key = F.conv(F.substring(F.md5(F.concat_ws("|", F.col(id_col).cast("string"), text_col)), 1, 15), 16, 10).cast("long")
     inner = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # no input name can clash with those used here
     rows = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in inner.items()), F.col(source_col).alias("_source"),
                        length.alias("_size"), key.alias("_key"))

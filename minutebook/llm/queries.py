@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from minutebook.llm import chat, licenses, minhash, mixing, packing, quality, substring, topk, toxicity, vectors
+from minutebook.llm import chat, licenses, minhash, mixing, oracles, packing, quality, substring, topk, toxicity, vectors
 from minutebook.llm.common import load
 
 TOKENIZER = "word_bpe_49k.json"
@@ -126,3 +126,10 @@ FROM placed GROUP BY pair"""
 def op9_relative_lz(spark: SparkSession, sf: str) -> DataFrame:
     found = substring.remove_repeats(load(spark, sf, "documents"))
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+ORACLES["op1_pfair_mix"] = oracles.MIXTURE
+ORACLES["op5_sorted_projections"] = oracles.VECTOR_LINKS
+ORACLES["op6_voronoi_join"] = oracles.TOP_PRODUCTS
+ORACLES["op9_relative_lz"] = oracles.REPEATS
+ORACLES["op10_dart_minhash"] = oracles.NEAR_DUPLICATES
