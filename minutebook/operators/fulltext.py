@@ -161,7 +161,8 @@ class _Parser:
             if self.peek() == "AND":
                 self.take()
                 continue
-            found = [(r + p, x + q) for r, x in found for p, q in self.one()]
+            more = self.one()
+            found = [(r + p, x + q) for r, x in found for p, q in more]
             if len(found) > MOST_CLAUSES:
                 raise ValueError(f"the query has more than {MOST_CLAUSES} alternatives")
         return found
