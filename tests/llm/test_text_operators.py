@@ -51,11 +51,15 @@ def classes_of(rows, similarity=0.8):
     """Least id reachable by links, by comparing all pairs."""
     sets = [(i, cells(t)) for i, t in rows if i is not None]
     best = {i: i for i, _ in sets}
-    for _ in range(len(sets)):
-        for i, a in sets:
-            for j, b in sets:
-                if a and b and len(a & b) >= similarity * len(a | b) - 1e-12:
-                    best[i] = best[j] = min(best[i], best[j])
+    links = [(i, j) for i, a in sets for j, b in sets
+             if a and min(len(a), len(b)) >= similarity * max(len(a), len(b)) and len(a & b) >= similarity * len(a | b) - 1e-12]
+    moved = True
+    while moved:
+        moved = False
+        for i, j in links:
+            if best[i] != best[j]:
+                best[i] = best[j] = min(best[i], best[j])
+                moved = True
     return best
 
 
