@@ -12,8 +12,10 @@ with an empty coordinate draw again below twice the limit.
 Signatures are cut into bands.  Texts that share a band are joined under the
 least of them, which gives candidate clusters without listing pairs.  Inside a
 cluster, exact similarities come from products of blocks of the region
-matrix; large clusters are cut into blocks and every pair of blocks is one
-unit of work.  Only a forest of the verified links leaves a unit.
+matrix.  Members of large clusters first meet their band leaders; what these
+links leave outside the largest class is cut into blocks and compared with
+every block of the cluster, one pair of blocks to a group.  Only a forest of
+the verified links leaves a unit.
 """
 
 from __future__ import annotations
@@ -33,6 +35,7 @@ ship(__name__)
 U = np.uint64
 BANDS, ROWS = 36, 6
 BLOCK = 1024
+LEADERS = 4  # for large clusters, compared first; the rest of the cluster is compared after them
 
 
 def _regions(texts: list[bytes], n: int):
@@ -165,6 +168,44 @@ def _forest(n: int, similarity: float):
     return run
 
 
+def _led(candidates: DataFrame, large: DataFrame, block: int) -> DataFrame:
+    """(node, unit, bin): texts of large clusters with the band leaders they share most bands with, in units of ``block``."""
+    best = F.slice(F.sort_array(F.collect_list(F.struct("shared", (-F.col("b")).alias("lead"))), asc=False), 1, LEADERS)
+    pairs = (candidates.join(large.select(F.col("node").alias("a")), "a").groupBy("a").agg(best.alias("best"))
+             .select("a", F.explode("best.lead").alias("lead")).select("a", (-F.col("lead")).alias("lead")))
+    pieces = pairs.groupBy("lead").agg(F.ceil(F.count("*") / block).cast("int").alias("pieces"))
+    dealt = pairs.join(pieces, "lead").select(
+        "a", F.concat_ws("-", "lead", F.pmod(F.xxhash64("a", F.lit(7)), F.col("pieces"))).alias("unit"), "lead")
+    units = dealt.select(F.col("a").alias("node"), "unit").union(dealt.select("lead", "unit").distinct())
+    return units.select("node", "unit", F.col("unit").alias("bin"))
+
+
+def _left_over(led: DataFrame, large: DataFrame, block: int) -> DataFrame:
+    """(node, unit, bin): pairs of blocks that hold every pair of texts of a large cluster, but for those inside its largest known class.
+
+    Every unit is a group of its own, so a task holds two blocks at a time, however large the cluster.
+    """
+    joined = components(led).select("node", F.col("component").alias("class"))
+    known = large.join(joined, "node", "left").withColumn("class", F.coalesce("class", "node"))
+    counts = known.groupBy("component", "class").agg(F.count("*").alias("n"))
+    main = counts.groupBy("component").agg(F.max(F.struct("n", "class")).alias("main")).select("component", "main.*")
+    split = (known.join(main.withColumnRenamed("class", "main"), "component").where("n < members")
+             .withColumn("rest", F.col("class") != F.col("main"))
+             .withColumn("rests", F.ceil((F.col("members") - F.col("n")) / block).cast("int"))
+             .withColumn("mains", F.ceil(F.col("n") / block).cast("int"))
+             .withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), F.when(F.col("rest"), F.col("rests")).otherwise(F.col("mains"))).cast("int")))
+    rest_block = F.explode(F.sequence(F.lit(0), F.col("rests") - 1)).alias("with")
+    main_block = F.explode(F.sequence(F.lit(0), F.col("mains") - 1)).alias("with")
+    left = split.where("rest")
+    units = (left.select("node", "component", "own", rest_block)
+             .select("node", F.concat_ws("-", "component", F.lit("r"), F.least("own", "with"), F.greatest("own", "with")).alias("unit"))
+             .union(left.select("node", "component", "own", main_block)
+                    .select("node", F.concat_ws("-", "component", F.lit("m"), "own", "with")))
+             .union(split.where("not rest").select("node", "component", "own", rest_block)
+                    .select("node", F.concat_ws("-", "component", F.lit("m"), "with", "own"))))
+    return units.select("node", "unit", F.col("unit").alias("bin"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5,
                     similarity: float = 0.8, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
     """(id_col, class_id) of every row: texts are of one class if links join them.
@@ -190,22 +231,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     banded = alone.select("_id", F.explode("bands").alias("band"))
     leaders = (banded.groupBy("band").agg(F.min("_id").alias("lead"), F.max("_id").alias("last"))
                .where("lead < last").select("band", "lead"))
-    candidates = (banded.join(leaders, "band").where("_id <> lead")
-                  .select(F.col("_id").alias("a"), F.col("lead").alias("b")).distinct())
-    clusters = materialize(components(candidates), "clusters")
+    candidates = materialize(banded.join(leaders, "band").where("_id <> lead")
+                             .groupBy(F.col("_id").alias("a"), F.col("lead").alias("b")).agg(F.count("*").alias("shared")), "candidates")
+    clusters = components(candidates)
     sizes = clusters.groupBy("component").agg(F.count("*").alias("members"))
-    placed = (clusters.join(sizes, "component")
-              .withColumn("blocks", F.ceil(F.col("members") / block).cast("int"))
-              .withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int")))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    units = (placed.select("node", "component", "own", other.alias("with"))
-             .select("node", F.concat_ws("-", "component", F.least("own", "with"), F.greatest("own", "with")).alias("unit")))
-    total = clusters.count()
-    bins = max(1, -(-total // (2 * block)))
-    # A shuffle join at every size: what a broadcast saves on small inputs would not last.
-    members = (rows_in.join(units.withColumnRenamed("node", "_id").hint("merge"), "_id")
-               .withColumn("bin", F.pmod(F.xxhash64("unit"), F.lit(bins))))
-    forest = members.groupBy("bin").applyInArrow(_forest(n, similarity), "a long, b long")
+    placed = materialize(clusters.join(sizes, "component"), "clusters")
+
+    def compare(units: DataFrame) -> DataFrame:
+        # A shuffle join at every size: what a broadcast saves on small inputs would not last.
+        return (rows_in.join(units.withColumnRenamed("node", "_id").hint("merge"), "_id")
+                .groupBy("bin").applyInArrow(_forest(n, similarity), "a long, b long"))
+
+    small = placed.where(F.col("members") <= block)
+    bins = max(1, -(-small.count() // (2 * block)))
+    whole = small.select("node", F.col("component").cast("string").alias("unit"),
+                         F.pmod(F.xxhash64(F.col("component").cast("string")), F.lit(bins)).cast("string").alias("bin"))
+    forest, large = compare(whole), placed.where(F.col("members") > block)
+    if not large.isEmpty():
+        led = materialize(compare(_led(candidates, large, block)), "led")
+        forest = forest.union(led).union(compare(_left_over(led, large, block)))
     classes = components(forest.union(copy_links))
     named = docs.select(F.col(id_col)).join(classes.select(F.col("node").alias("_node"), F.col("component").alias("_class")),
                       F.col(id_col) == F.col("_node"), "left")

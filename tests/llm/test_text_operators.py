@@ -267,3 +267,27 @@ def test_toxic_stretch_counts_wherever_it_stands():
     long = prose("long", 8000)
     clean, early, late = toxicity.scores([long.encode(), ("scumbag idiot " + long).encode(), (long + " scumbag idiot").encode()], model)
     assert clean < 0.5 < min(early, late)
+
+
+def test_large_clusters_reach_no_group_whole(spark, monkeypatch):
+    """One hot family and texts that hang on it by half their words: groups stay at a few blocks, classes exact."""
+    words, solve = prose("hot", 60).split(), minhash._forest
+    rows = []
+    for k in range(300):
+        own = list(words)
+        own[zlib.crc32(f"{k}".encode()) % 60] = f"new{k}"
+        rows.append((k, " ".join(own)))
+    rows += [(1000 + k, " ".join(words[:45]) + " " + prose(f"hang{k}", 15)) for k in range(20)]
+    rows += [(2000 + k, " ".join(words[:45]) + " " + prose("hang3", 14) + f" end{k}") for k in range(10)]
+
+    def small_only(n, similarity):
+        run = solve(n, similarity)
+
+        def checked(part):
+            assert part.num_rows <= 8 * 8, f"{part.num_rows} texts in one group"
+            return run(part)
+        return checked
+
+    monkeypatch.setattr(minhash, "_forest", small_only)
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block=8).collect()}
+    assert got == classes_of(rows)
