@@ -135,7 +135,7 @@ def _name_seeds(window: int, seed: int, blocks: int):
 
 
 def _index_seeds(part: pa.Table) -> pa.Table:
-    """For each segment its seeds that stand in two places, and its texts that equal one of a smaller id."""
+    """For each segment its seeds that stand in two places, and the digests of its texts that equal one of a smaller id, with that id."""
     h, s = _joined(part.column("seeds"), U), _joined(part.column("homes"), np.uint32)
     order = np.lexsort((s, h))
     h, s = h[order], s[order]
@@ -157,15 +157,18 @@ def _index_seeds(part: pa.Table) -> pa.Table:
     first[1:] = (t[1:] != t[:-1]).any(axis=1)
     least = i[np.maximum.accumulate(np.where(first, np.arange(len(i)), 0))] if len(i) else i
     later = i != least
-    i, o = i[later], o[later]
+    t, least, o = t[later], least[later], o[later]
     order = np.argsort(o, kind="stable")
-    i, o = i[order], o[order]
+    t, least, o = t[order], least[order], o[order]
+    new = np.ones(len(o), bool)
+    new[1:] = (o[1:] != o[:-1]) | (t[1:] != t[:-1]).any(axis=1)
+    known, o = np.column_stack([t, least.view(U)])[new], o[new]
     segs = np.unique(np.concatenate([s, o]))
     cut, text_cut = np.searchsorted(s, np.append(segs, 1 << 32)), np.searchsorted(o, np.append(segs, 1 << 32))
     return pa.table({
         "seg": pa.array(segs.astype(np.int32), pa.int32()),
         "seeds": pa.array([h[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary()),
-        "copies": pa.array([i[a:b].tobytes() for a, b in zip(text_cut[:-1], text_cut[1:])], pa.binary())})
+        "copies": pa.array([known[a:b].tobytes() for a, b in zip(text_cut[:-1], text_cut[1:])], pa.binary())})
 
 
 def _sorted(part: pa.Table) -> tuple[np.ndarray, list[bytes], list[int]]:
@@ -184,7 +187,9 @@ def _look_up(window: int, seed: int, blocks: int):
         ids, bodies, _ = _sorted(docs)
         seg = docs.column("seg")[0].as_py()
         seeds = np.sort(_joined(known.column("seeds"), U))
-        copy = np.isin(ids, _joined(known.column("copies"), np.int64))
+        copies = _joined(known.column("copies"), U).reshape(-1, 3)
+        least_id = dict(zip((x.tobytes() for x in copies[:, :2]), copies[:, 2].view(np.int64).tolist()))
+        copy = np.array([i > least_id.get(xxhash.xxh3_128_digest(x), i) for i, x in zip(ids.tolist(), bodies)], bool)
         for k in range(1, len(ids)):
             copy[k] |= ids[k] == ids[k - 1] and bodies[k] == bodies[k - 1]
         found, starts, base = ([], [], []), [], 0

@@ -291,3 +291,11 @@ def test_large_clusters_reach_no_group_whole(spark, monkeypatch):
     monkeypatch.setattr(minhash, "_forest", small_only)
     got = {r.doc_id: r.class_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block=8).collect()}
     assert got == classes_of(rows)
+
+
+def test_repeated_id_keeps_its_other_text(spark):
+    """Only the row whose own text stands under a smaller id is a copy, not every row of its id."""
+    rows = [(3, BASE), (5, BASE), (5, prose("unique", 60)), (None, PASSAGE), (9, PASSAGE), (9, prose("alone", 40))]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    for size in (1, 2, 1000):
+        assert grouped(substring.remove_repeats(table, segment_rows=size).collect()) == repeats(rows)
