@@ -1,31 +1,25 @@
-"""Near-duplicate vectors by sorted projection passes.
-
-Each pass gives a vector the signs of its products with 60 random vectors as
-one number and orders all vectors of a label by it: vectors at a small angle
-share the first signs and stand near each other.  Every vector is compared
-with the ``window`` before it; verified pairs of all passes are united.
-
-The order is made by range partitions, so a label or a key that most vectors
-share is spread over many tasks; the last vectors of each partition meet the
-first of the next in a second small step.  The windows are bounded, so inside
-a dense group they need not show all pairs.  The rest is exact: the members
-of every component are compared block by block and only counts leave a task.
+"""Near-duplicate vectors by exact comparison inside each label.
+
+All vectors of one label and length are compared.  Small labels are packed
+several to a group; large ones are cut into blocks by hash, and every pair of
+blocks is a group of its own, so a task holds two blocks however large the
+label.  A unit returns the number of links of each member and a forest of
+them, never pairs.  The work grows with the square of a label: neither angle
+nor density of its vectors decides what is found.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from minutebook.llm.common import components, materialize, partitions, ship
+from minutebook.llm.common import components, materialize, ship
 
 ship(__name__)
 
-PASSES, WINDOW, SIGNS, BLOCK = 12, 48, 60, 1024
-ROW = "pass int, label string, dim int, key long, id long, vec array<float>"
+BLOCK, SLICE = 4096, 1024
 
 
 def _matrix(column) -> np.ndarray:
@@ -36,134 +30,52 @@ def _matrix(column) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _signs(passes: int):
-    def run(parts):
-        planes = {}
-        weights = (1 << np.arange(SIGNS - 1, -1, -1, dtype=np.int64))
-        for part in parts:
-            dims = part.column("dim").to_numpy()
-            keys = np.zeros((part.num_rows, passes), np.int64)
-            for dim in np.unique(dims):
-                rows = np.flatnonzero(dims == dim)
-                x = _matrix(part.column("vec").take(pa.array(rows)))
-                if dim not in planes:
-                    planes[dim] = np.random.default_rng(int(dim)).normal(size=(int(dim), passes * SIGNS))
-                side = (x @ planes[dim] > 0).reshape(len(rows), passes, SIGNS)
-                keys[rows] = side @ weights
-            ends = pa.array(np.arange(0, part.num_rows * passes + 1, passes), pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [part.column(n) for n in ("id", "label", "dim", "vec")] + [pa.ListArray.from_arrays(ends, pa.array(keys.ravel()))],
-                ["id", "label", "dim", "vec", "keys"])
-    return run
-
-
-def _roots(part, window: int, least: float) -> np.ndarray:
-    """For each row, in order, the first row of its component among links inside the window."""
-    n = part.num_rows
-    root = np.arange(n)
-    group = np.stack([part.column("pass").to_numpy(), part.column("dim").to_numpy()])
-    label = part.column("label").to_numpy(zero_copy_only=False)
-    new = np.ones(n, bool)
-    if n:
-        new[1:] = (group[:, 1:] != group[:, :-1]).any(axis=0) | (label[1:] != label[:-1])
-    starts = np.append(np.flatnonzero(new), n)
-
-    def find(k):
-        while root[k] != k:
-            root[k] = root[root[k]]
-            k = root[k]
-        return k
-
-    for lo, hi in zip(starts[:-1], starts[1:]):
-        x = _matrix(part.column("vec").slice(lo, hi - lo))
-        for first in range(0, hi - lo, 512):
-            last = min(hi - lo, first + 512)
-            back = max(0, first - window)
-            near = x[first:last] @ x[back:last].T >= least
-            i, j = np.nonzero(near)
-            i, j = i + first, j + back
-            use = (j < i) & (i - j <= window)
-            for a, b in zip(i[use] + lo, j[use] + lo):
-                if root[a] != root[b] or root[a] == a:
-                    a, b = find(a), find(b)
-                    if a != b:
-                        root[max(a, b)] = min(a, b)
-    while True:
-        up = root[root]
-        if (up == root).all():
-            return root
-        root = up
-
-
-def _linked(part, window: int, least: float):
-    ids = part.column("id").to_numpy()
-    root = _roots(part, window, least)
-    other = np.flatnonzero(root != np.arange(len(root)))
-    return ids[other], ids[root[other]]
-
-
-def _slide(window: int, least: float):
-    """Links inside a partition, and its first and last rows; rows come in order."""
-    names = ["a", "b", "part", "side", "place", "pass", "label", "dim", "id", "vec"]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int64(),
-             pa.list_(pa.float32())]
-
-    def edge(rows: pa.Table, part: int, side: int):
-        n = rows.num_rows
-        columns = [pa.nulls(n, pa.int64())] * 2 + [pa.array([v] * n, pa.int32()) for v in (part, side)]
-        columns += [pa.array(range(n), pa.int32())] + [rows.column(c).combine_chunks() for c in ("pass", "label", "dim", "id", "vec")]
-        return [pa.RecordBatch.from_arrays([c if c.type == k else c.cast(k) for c, k in zip(columns, kinds)], names)] if n else []
-
-    def run(parts):
-        number, head, tail = TaskContext.get().partitionId(), None, None
-        for part in parts:
-            rows = pa.Table.from_batches([part])
-            if head is None or head.num_rows < window:
-                head = rows.slice(0, window) if head is None else pa.concat_tables([head, rows]).slice(0, window)
-            seen = rows if tail is None else pa.concat_tables([tail, rows])
-            a, b = _linked(seen, window, least)
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)] + [pa.nulls(len(a), k) for k in kinds[2:]], names)
-            tail = seen.slice(max(0, seen.num_rows - window))
-        if tail is not None:
-            yield from edge(head, number, 0)
-            yield from edge(tail, number, 1)
-    return run
-
-
-def _meet(window: int, least: float):
-    def run(part: pa.Table) -> pa.Table:
-        part = part.sort_by([("side", "descending"), ("place", "ascending")])
-        a, b = _linked(part, window, least)
-        return pa.table({"a": a, "b": b})
-    return run
+def _forest(near: np.ndarray) -> np.ndarray:
+    """For each row the first row that links reach from it."""
+    root, seen = np.arange(len(near)), ~near.any(axis=1)
+    for i in np.flatnonzero(~seen):
+        if not seen[i]:
+            seen[i] = True
+            front = np.array([i])
+            while len(front):
+                found = np.flatnonzero(near[front].any(axis=0) & ~seen)
+                seen[found] = True
+                root[found] = i
+                front = found
+    return root
 
 
-def _count(least: float):
-    """Exact number of links of each member of a unit: pairs of blocks of one component."""
+def _compare(least: float):
+    """Members of each unit that have links in it: how many, and the first member that they reach."""
     def run(part: pa.Table) -> pa.Table:
-        part = part.sort_by([("unit", "ascending"), ("id", "ascending")])
+        part = part.sort_by([("unit", "ascending"), ("own", "ascending"), ("id", "ascending")])
         unit = part.column("unit").to_numpy(zero_copy_only=False)
         cut = np.concatenate([[0], np.flatnonzero(unit[1:] != unit[:-1]) + 1, [len(unit)]])
-        ids, copies = part.column("id").to_numpy(), part.column("copies").to_numpy()
-        own, alike = part.column("own").to_numpy(), part.column("alike").to_numpy(zero_copy_only=False)
-        links = np.zeros(len(ids), np.int64)
+        ids, copies, own = (part.column(c).to_numpy() for c in ("id", "copies", "own"))
+        alike = part.column("alike").to_numpy(zero_copy_only=False)
+        links, root = np.zeros(len(ids), np.int64), ids.copy()
         for lo, hi in zip(cut[:-1], cut[1:]):
             x = _matrix(part.column("vec").slice(lo, hi - lo))
-            for first in range(0, hi - lo, BLOCK):
-                some = slice(first, min(hi - lo, first + BLOCK))
-                near = x[some] @ x.T >= least
-                if alike[lo]:
-                    near[np.arange(near.shape[0]), np.arange(first, first + near.shape[0])] = False
-                else:
-                    near &= own[lo:hi][some, None] != own[None, lo:hi]
-                links[lo:hi][some] = near @ copies[lo:hi]
-        return pa.table({"id": ids, "links": links})
+            n = hi - lo
+            rows = n if alike[lo] else int(np.searchsorted(own[lo:hi], own[lo], "right"))
+            other = 0 if alike[lo] else rows
+            near = np.zeros((n, n), bool)
+            for first in range(0, rows, SLICE):
+                last = min(rows, first + SLICE)
+                near[first:last, other:] = x[first:last] @ x[other:].T >= least
+            if alike[lo]:
+                np.fill_diagonal(near, False)
+            near |= near.T
+            for first in range(0, n, SLICE):
+                links[lo:hi][first:first + SLICE] = near[first:first + SLICE].astype(np.float64) @ copies[lo:hi]
+            root[lo:hi] = ids[lo:hi][_forest(near)]
+        some = np.flatnonzero(links)
+        return pa.table({"id": ids[some], "links": links[some], "root": root[some]})
     return run
 
 
 def near_duplicate_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label",
-                           cosine: float = 0.98, passes: int = PASSES, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
+                           cosine: float = 0.98, passes: int | None = None, window: int | None = None, block: int = BLOCK) -> DataFrame:
     """One row per vector: id_col, n_links, component_id, kept.
 
     Vectors are compared if their labels are equal and not null; a link is a
@@ -171,16 +83,13 @@ def near_duplicate_vectors(table: DataFrame, id_col: str = "vec_id", vector_col:
     other vectors linked directly, component_id is the least id reachable by
     links, kept tells whether it is the vector's own.  Vectors that are null,
     empty, zero or hold null or non-finite components, and rows without label
-    or id, link with nothing.  Equal vectors are folded before the passes and
-    counted after them; vectors of different lengths never link.  Rows that
+    or id, link with nothing.  Equal vectors are folded before the comparison and
+    counted after it; vectors of different lengths never link.  Rows that
     share an id but not a vector are one node.  Other columns are not looked at.
 
-    Links between two vectors are found with a probability that falls with
-    their angle and slowly with the number of vectors (a pair at exactly 0.98
-    among a million of its label: above 0.97); inside a component every pair
-    is compared.
+    Every pair of a label is compared, so all links are found.  ``passes`` and
+    ``window`` belonged to an earlier search by projections; they change nothing.
     """
-    spark = table.sparkSession
     vec = F.col(vector_col).cast("array<float>")
     sound = ~F.exists(vec, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(vec, lambda x: x != 0)
     rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), vec.alias("vec"),
@@ -188,31 +97,18 @@ def near_duplicate_vectors(table: DataFrame, id_col: str = "vec_id", vector_col:
     usable = rows.where("sound and id is not null and label is not null").select("id", "label", "vec")
     nodes = materialize(usable.groupBy("label", "vec").agg(F.min("id").alias("node"), F.count("*").alias("copies"))
                         .withColumn("dim", F.size("vec")), "vectors")
-    keyed = nodes.select(F.col("node").alias("id"), "label", "dim", "vec").mapInArrow(
-        _signs(passes), "id long, label string, dim int, vec array<float>, keys array<long>")
-    order = ["pass", "label", "dim", "key", "id"]
-    dealt = (keyed.select(F.posexplode("keys").alias("pass", "key"), "label", "dim", "id", "vec")
-             .repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).select("pass", "label", "dim", "key", "id", "vec"))
-    found = materialize(dealt.mapInArrow(_slide(window, cosine),
-                                         "a long, b long, part int, side int, place int, pass int, label string, dim int, id long, vec array<float>"),
-                        "passes")
-    edges = found.where("side is not null")
-    parts = edges.groupBy("part").agg(F.lit(1).alias("one")).select("part", F.row_number().over(Window.orderBy("part")).alias("rank"))
-    met = (edges.join(parts, "part").withColumn("border", F.col("rank") - F.when(F.col("side") == 0, 1).otherwise(0))
-           .groupBy("border").applyInArrow(_meet(window, cosine), "a long, b long"))
-    classes = materialize(components(found.where("side is null").select("a", "b").union(met)), "classes")
-    sizes = classes.groupBy("component").agg(F.count("*").alias("members"))
-    placed = (classes.join(sizes, "component").withColumn("blocks", F.ceil(F.col("members") / block).cast("int"))
-              .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
-    units = placed.select("node", "component", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with")).select(
-        "node", "own", (F.col("own") == F.col("with")).alias("alike"),
-        F.concat_ws("-", "component", F.least("own", "with"), F.greatest("own", "with")).alias("unit"))
-    bins = max(1, -(-classes.count() // (4 * block)))
-    counted = (nodes.select("node", "vec", "dim", "copies").join(units, "node")
-               .select(F.col("node").alias("id"), "vec", "copies", "own", "alike",
-                       F.concat_ws("/", "unit", "dim").alias("unit"), F.pmod(F.xxhash64("unit"), F.lit(bins)).alias("bin"))
-               .groupBy("bin").applyInArrow(_count(cosine), "id long, links long")
-               .groupBy("id").agg(F.sum("links").alias("links")))
+    sizes = materialize(nodes.groupBy("label", "dim").agg(F.count("*").alias("members")), "sizes")
+    packed = sizes.where(F.col("members") <= block).agg(F.sum("members")).first()[0] or 0
+    placed = (nodes.join(sizes, ["label", "dim"]).withColumn("blocks", F.ceil(F.col("members") / block).cast("int"))
+              .withColumn("own", F.pmod(F.xxhash64("node", "vec"), F.col("blocks")).cast("int")))
+    units = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        F.col("node").alias("id"), "vec", "copies", "own", "blocks", (F.col("own") == F.col("with")).alias("alike"),
+        F.concat_ws("/", "dim", F.least("own", "with"), F.greatest("own", "with"), "label").alias("unit"))
+    bin_ = F.pmod(F.xxhash64("unit"), F.lit(max(1, -(-packed // SLICE)))).cast("string")
+    found = materialize(units.withColumn("bin", F.when(F.col("blocks") > 1, F.col("unit")).otherwise(bin_)).drop("blocks")
+                        .groupBy("bin").applyInArrow(_compare(cosine), "id long, links long, root long"), "links")
+    classes = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
+    counted = found.groupBy("id").agg(F.sum("links").alias("links"))
     known = (nodes.join(classes, "node", "left").join(counted, F.col("node") == F.col("id"), "left")
              .groupBy("label", "vec").agg(F.min(F.coalesce("component", "node")).alias("component"),
                                           F.max(F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")))

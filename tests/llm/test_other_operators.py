@@ -2,6 +2,7 @@
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -31,6 +32,27 @@ def cloud():
     return rows + odd
 
 
+def test_all_links_of_a_dense_label_are_found(spark):
+    """20,000 vectors of mean cosine 0.9 in one label, 300 pairs of cosine 0.981 among them; production parameters."""
+    rng = np.random.default_rng(5)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    mean = unit(rng.normal(size=64))
+    off = lambda n: unit((r := rng.normal(size=(n, 64))) - (r @ mean)[:, None] * mean)
+    x = 0.9 ** 0.5 * mean + 0.1 ** 0.5 * off(20_000)
+    side = off(300)
+    side = unit(side - (side * x[:300]).sum(axis=1, keepdims=True) * x[:300])
+    x[10_000:10_300] = 0.981 * x[:300] + (1 - 0.981 ** 2) ** 0.5 * side
+    x = x.astype(np.float32)
+    table = pa.table({"vec_id": np.arange(20_000), "embedding": pa.FixedSizeListArray.from_arrays(x.ravel(), 64).cast(pa.list_(pa.float32())),
+                      "label": np.ones(20_000, np.int32)})
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_duplicate_vectors(spark.createDataFrame(table)).collect()}
+    exact, wide = np.zeros(20_000, int), unit(x.astype(np.float64))
+    for k in range(0, 20_000, 2000):
+        exact[k:k + 2000] = (wide[k:k + 2000] @ wide.T >= 0.98).sum(axis=1) - 1
+    assert exact.sum() >= 600 and [got[k][0] for k in range(20_000)] == exact.tolist()
+    assert all(got[10_000 + k][1] == got[k][1] for k in range(300))
+
+
 def usable(v):
     return v is not None and len(v) > 0 and all(x is not None and np.isfinite(x) for x in v)
 
