@@ -11,8 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from minutebook.llm import chat, licenses, minhash, mixing, oracles, packing, quality, substring, topk, toxicity, vectors
+from minutebook.llm import chat, licenses, minhash, mixing, oracles, packing, quality, substring, tokenfile, topk, toxicity, vectors
 from minutebook.llm.common import load
+from minutebook.session import scratch_dir
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -128,6 +129,13 @@ def op9_relative_lz(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+@query
+def op13_zstd_dictionary(spark: SparkSession, sf: str) -> DataFrame:
+    folder = scratch_dir(spark, "tokens")
+    tokenfile.write_tokens(load(spark, sf, "documents"), folder, tokenizer_path())
+    return tokenfile.read_tokens(spark, folder, columns={"ids_crc32": F.crc32("ids")})
+
+
 ORACLES["op1_pfair_mix"] = oracles.MIXTURE
 ORACLES["op5_sorted_projections"] = oracles.VECTOR_LINKS
 ORACLES["op6_voronoi_join"] = oracles.TOP_PRODUCTS
