@@ -101,3 +101,26 @@ WITH RECURSIVE d AS (
 SELECT doc_id, b.source, block, block // share * slots + nth * slots // share AS release,
   block // share * slots + ceil((nth + 1) * slots / share)::BIGINT AS deadline, block // share * slots + slot AS slot, start, share
 FROM blocks b JOIN period p ON b.source IS NOT DISTINCT FROM p.source AND block % share = nth"""
+
+SEARCH = """
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS row, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS ts
+  FROM documents
+), q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term
+  FROM benchmark
+), totals AS (
+  SELECT count(*)::BIGINT AS texts, sum(len(ts))::BIGINT AS length FROM d WHERE len(ts) > 0
+), held AS (
+  SELECT row, doc_id, term, count(*)::BIGINT AS tf, n
+  FROM (SELECT row, doc_id, unnest(ts) AS term, len(ts)::BIGINT AS n FROM d) GROUP BY row, doc_id, term, n
+), weights AS (
+  SELECT term, floor(1000 * ln((2 * texts + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM held, totals GROUP BY term, texts
+), scored AS (
+  SELECT item_id, row, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * texts) // length))))::BIGINT AS score
+  FROM q JOIN held USING (term) JOIN weights USING (term), totals GROUP BY item_id, row, doc_id
+)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 50"""

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from minutebook.llm import chat, licenses, minhash, mixing, oracles, packing, quality, substring, tokenfile, topk, toxicity, vectors
+from minutebook.llm import bitslice, chat, licenses, minhash, mixing, oracles, packing, quality, substring, tokenfile, topk, toxicity, vectors, whiten
 from minutebook.llm.common import load
 from minutebook.session import scratch_dir
 
@@ -129,6 +129,16 @@ def op9_relative_lz(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+@query
+def op11_incremental_eigen(spark: SparkSession, sf: str) -> DataFrame:
+    return whiten.whiten(load(spark, sf, "embeddings"))
+
+
+@query
+def op12_bit_sliced_bloom(spark: SparkSession, sf: str) -> DataFrame:
+    return bitslice.search(load(spark, sf, "documents"), load(spark, sf, "benchmark"))
+
+
 @query
 def op13_zstd_dictionary(spark: SparkSession, sf: str) -> DataFrame:
     folder = scratch_dir(spark, "tokens")
@@ -141,3 +151,4 @@ ORACLES["op5_sorted_projections"] = oracles.VECTOR_LINKS
 ORACLES["op6_voronoi_join"] = oracles.TOP_PRODUCTS
 ORACLES["op9_relative_lz"] = oracles.REPEATS
 ORACLES["op10_dart_minhash"] = oracles.NEAR_DUPLICATES
+ORACLES["op12_bit_sliced_bloom"] = oracles.SEARCH

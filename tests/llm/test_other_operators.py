@@ -152,7 +152,7 @@ def test_licenses_by_hand(spark):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_queries_equal_sql(spark, name):
     folder, db = "/root/testdata/sf0.001", duckdb.connect()
-    for t in ("documents", "conversations", "embeddings"):
+    for t in ("documents", "conversations", "embeddings", "benchmark"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
     cursor = db.execute(queries.ORACLES[name])
     columns = sorted(d[0] for d in cursor.description)
