@@ -4,10 +4,11 @@ Inner products become distances: with m the largest norm, every candidate x
 gets one more component sqrt(m^2 - |x|^2) and every query a zero, so a larger
 product is a smaller distance.  Queries and candidates belong to the cell of
 their nearest pivot.  From summaries of the cells alone -- the largest
-distance of a query to its pivot, the least distances of candidates to
-theirs -- the triangle inequality bounds the distance of the k-th neighbor of
-every query of a cell, and with it the ring of each other cell in which
-candidates can matter.  Only those are sent to the group of the queries,
+distance of a query to its pivot, the least distances of candidates of k + 1
+different ids to theirs -- the triangle inequality bounds the distance of the
+k-th neighbor of every query of a cell: of k + 1 ids at most one is the
+query's own, however many rows share it.  The bound gives the ring of each
+other cell in which candidates can matter.  Only those are sent to the group of the queries,
 where products of whole blocks give the answer.  Bounds are widened by more
 than rounding can lose, so ties stay in.
 """
@@ -23,7 +24,7 @@ from minutebook.llm.common import materialize, ship
 
 ship(__name__)
 
-PIVOTS, GROUP, SPLIT = 48, 16384, 16384
+MOST_PIVOTS, GROUP, SPLIT = 512, 16384, 16384
 
 
 def _rows(column) -> np.ndarray:
@@ -53,11 +54,14 @@ class _Cells:
 
 
 def _summaries(cells: dict[int, _Cells], k: int):
-    names = ["dim", "cell", "queries", "reach", "least"]
+    """Of each cell: queries and their reach, and the candidates of least distance, one of an id and k + 1 ids."""
+    names = ["dim", "cell", "queries", "reach", "id", "far"]
+    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.int64(), pa.float64())
 
     def run(parts):
         for part in parts:
             dims, asks, out = part.column("dim").to_numpy(), part.column("asks").to_numpy(zero_copy_only=False), []
+            ids = part.column("id").to_numpy()
             for dim in np.unique(dims).tolist():
                 at = np.flatnonzero(dims == dim)
                 x = _rows(part.column("vec").take(pa.array(at)))
@@ -66,12 +70,15 @@ def _summaries(cells: dict[int, _Cells], k: int):
                 wide = cells[dim].of_queries(x[ask])
                 ask_home = wide.argmin(axis=1)
                 for c in np.unique(np.concatenate([home, ask_home])).tolist():
-                    near = np.sort(far[home == c, c])[:k + 1]
                     mine = wide[ask_home == c, c]
-                    out.append((dim, c, len(mine), float(mine.max()) if len(mine) else 0.0, near.tolist()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([o[i] for o in out], t) for i, t in enumerate(
-                    (pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.list_(pa.float64())))], names)
+                    if len(mine):
+                        out.append((dim, c, len(mine), float(mine.max()), None, None))
+                    inside = np.flatnonzero(home == c)
+                    inside = inside[np.argsort(far[inside, c], kind="stable")]
+                    _, first = np.unique(ids[at[inside]], return_index=True)
+                    near = inside[np.sort(first)[:k + 1]]
+                    out.extend((dim, c, None, None, int(i), float(d)) for i, d in zip(ids[at[near]], far[near, c]))
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)], names)
     return run
 
 
@@ -81,13 +88,18 @@ class _Plan:
     def __init__(self, cells: _Cells, summary: list, k: int, count: int, group: int, split: int, first: int):
         n = len(cells.pivots)
         apart = np.sqrt(np.maximum(0, 2 * cells.most - 2 * (cells.pivots @ cells.pivots.T + np.outer(cells.lift, cells.lift))))
-        reach, asked, least = np.zeros(n), np.zeros(n, np.int64), [[] for _ in range(n)]
+        reach, asked = np.zeros(n), np.zeros(n, np.int64)
         for s in summary:
-            reach[s["cell"]], asked[s["cell"]], least[s["cell"]] = s["reach"], s["queries"], s["least"]
+            if s["queries"]:
+                reach[s["cell"]], asked[s["cell"]] = s["reach"], s["queries"]
+        near = [s for s in summary if s["id"] is not None]
+        ids, cell, least = (np.array([s[c] for s in near]) for c in ("id", "cell", "far"))
         self.inner, self.outer = np.full((n, n), np.inf), np.full((n, n), -np.inf)
         for i in np.flatnonzero(asked):
-            bounds = sorted(reach[i] + apart[i, j] + d for j in range(n) for d in least[j])
-            limit = bounds[k] if len(bounds) > k else np.inf
+            bounds = reach[i] + apart[i, cell] + least
+            order = np.argsort(bounds, kind="stable")
+            heads = np.sort(np.unique(ids[order], return_index=True)[1])  # of each id its least bound
+            limit = bounds[order[heads[k]]] if len(heads) > k else np.inf
             self.inner[i] = apart[i] - reach[i] - limit - cells.slack
             self.outer[i] = apart[i] + reach[i] + limit + cells.slack
         self.splits = max(1, -(-count // split))
@@ -170,7 +182,7 @@ def _solve(k: int):
 
 
 def top_products(table: DataFrame, k: int = 5, query_step: int = 50, scale: int = 256, id_col: str = "vec_id",
-                 vector_col: str = "embedding", pivots: int = PIVOTS, group: int = GROUP, split: int = SPLIT) -> DataFrame:
+                 vector_col: str = "embedding", pivots: int | None = None, group: int = GROUP, split: int = SPLIT) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the ``k`` candidates of highest inner product of each query.
 
     Components are floor(scale * x) with x as double; queries are the rows
@@ -179,7 +191,8 @@ def top_products(table: DataFrame, k: int = 5, query_step: int = 50, scale: int
     rows.  Vectors that are null, empty or hold null or non-finite components
     and rows without id take no part; vectors of different lengths are not
     compared.  A row that occurs twice is two candidates but one query; a
-    query id with several vectors has its scores pooled.
+    query id with several vectors has its scores pooled.  ``pivots`` follow
+    the square root of the number of vectors, up to ``MOST_PIVOTS``.
     """
     spark = table.sparkSession
     vec = F.col(vector_col)
@@ -195,15 +208,20 @@ def top_products(table: DataFrame, k: int = 5, query_step: int = 50, scale: int
     sizes = {r["dim"]: r for r in base.groupBy("dim").agg(F.count("*").alias("n"), F.max(norm).alias("most")).collect()}
     nth = F.row_number().over(Window.partitionBy("dim").orderBy("mark", "id"))
     chosen: dict[int, list] = {}
-    for r in base.select("dim", "vec", "mark", "id").withColumn("nth", nth).where(F.col("nth") <= pivots).collect():
-        chosen.setdefault(r["dim"], []).append(r["vec"])
+    wanted = {d: pivots or min(MOST_PIVOTS, max(16, round(r["n"] ** 0.5))) for d, r in sizes.items()}
+    for r in base.select("dim", "vec", "mark", "id").withColumn("nth", nth).where(F.col("nth") <= max(wanted.values(), default=1)).collect():
+        if r["nth"] <= wanted[r["dim"]]:
+            chosen.setdefault(r["dim"], []).append(r["vec"])
     cells = {d: _Cells(np.array(v), float(sizes[d]["most"])) for d, v in chosen.items()}
-    partial = base.select("dim", "vec", "asks").mapInArrow(
-        _summaries(cells, k), "dim int, cell int, queries long, reach double, least array<double>")
+    partial = materialize(base.select("dim", "vec", "asks", "id").mapInArrow(
+        _summaries(cells, k), "dim int, cell int, queries long, reach double, id long, far double"), "summaries")
+    # k + 1 rows and one more for each pivot, whatever the number of vectors.
+    close = F.row_number().over(Window.partitionBy("dim", "cell").orderBy("far", "id"))
+    near = (partial.where("id is not null").groupBy("dim", "cell", "id").agg(F.min("far").alias("far"))
+            .withColumn("close", close).where(F.col("close") <= k + 1).drop("close"))
+    wide = partial.where("queries is not null").groupBy("dim", "cell").agg(F.sum("queries").alias("queries"), F.max("reach").alias("reach"))
     summary: dict[int, list] = {}
-    for r in partial.groupBy("dim", "cell").agg(
-            F.sum("queries").alias("queries"), F.max("reach").alias("reach"),
-            F.slice(F.sort_array(F.flatten(F.collect_list("least"))), 1, k + 1).alias("least")).collect():
+    for r in wide.unionByName(near, allowMissingColumns=True).collect():
         summary.setdefault(r["dim"], []).append(r)
     plans, first = {}, 0
     for d in sorted(summary):

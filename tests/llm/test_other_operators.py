@@ -83,6 +83,22 @@ def test_vector_links_equal_brute_force(spark, cloud):
     assert vectors.near_duplicate_vectors(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("copies", [1, 2, 20])
+def test_rows_of_the_query_id_take_no_place_of_others(spark, copies):
+    """A query id on several rows near its own vector; all others lie on the other side."""
+    own = [(50, [10.0 + 0.01 * i, 0.0]) for i in range(copies)]
+    rows = own + [(1000 + i if i % 50 else 999, [-10.0, 0.1 * i]) for i in range(44)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for options in (dict(), dict(pivots=2), dict(pivots=30, split=10)):
+        got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_products(table, **options).collect())
+        whole = [(i, np.floor(256 * np.array(v)).astype(int)) for i, v in rows]
+        want = []
+        for q in sorted({i for i, _ in whole if i % 50 == 0}):
+            best = sorted((-int(a @ x), j) for a in {tuple(v) for i, v in whole if i == q} for j, x in whole if j != q for a in [np.array(a)])[:5]
+            want += [(q, r + 1, j, -s) for r, (s, j) in enumerate(best)]
+        assert got == sorted(want) and sum(g[0] == 50 for g in got) == 5
+
+
 @pytest.mark.parametrize("sizes", [dict(), dict(pivots=7, group=3, split=60)])
 def test_top_products_equal_brute_force(spark, cloud, sizes):
     table = spark.createDataFrame(cloud, "vec_id long, embedding array<float>, label int, grp string")
@@ -105,7 +121,9 @@ def test_far_candidates_are_not_sent(spark):
     cells = topk._Cells(x[[0, 250]], float((x ** 2).sum(axis=1).max()))
     far, ask = cells.of_candidates(x), cells.of_queries(x)
     home = far.argmin(axis=1)
-    summary = [{"cell": c, "queries": 3, "reach": ask[home == c, c].max(), "least": np.sort(far[home == c, c])[:6].tolist()} for c in (0, 1)]
+    summary = [{"cell": c, "queries": 3, "reach": ask[home == c, c].max(), "id": None, "far": None} for c in (0, 1)]
+    summary += [{"cell": c, "queries": None, "reach": None, "id": 10 * c + i, "far": d}
+                for c in (0, 1) for i, d in enumerate(np.sort(far[home == c, c])[:6].tolist())]
     plan = topk._Plan(cells, summary, 5, 400, 3, 100, 0)
     assert len(plan.groups) == 2
     for g, (cell,) in enumerate(plan.groups):
