@@ -12,6 +12,7 @@ from minutebook.plans.text_queries import (
     DONATIONS_SQL, TAGGED_HTML, donation_rows, items, sponsor_arrays)
 from minutebook.session import scratch_dir
 from minutebook.sources import meetings as mt
+from minutebook.sources.keyed import KeyedTable
 
 
 def sponsored_items(spark, sf):
@@ -128,6 +129,17 @@ def _(spark, sf):
     return co.upsert_news(base_news(spark, sf), news_batch(spark, sf)).select("id", "title", "type", "is_hidden")
 
 
+@query("m6_stored_upsert", f"""
+SELECT COALESCE(n.id, b.id) AS id, CASE WHEN b.id IS NOT NULL AND b.id <> 0 THEN b.title ELSE n.type END AS title, n.type, n.is_hidden
+FROM (SELECT * FROM news WHERE id <> 0) n FULL OUTER JOIN (SELECT * FROM ({BATCH}) WHERE id IS NOT NULL AND id <> 0) b ON b.id = n.id""")
+def _(spark, sf):
+    base = base_news(spark, sf).where("id <> 0")
+    stored = KeyedTable(spark, scratch_dir(spark, "news"), ["id"], base.schema, buckets=8)
+    stored.upsert(base)
+    stored.change(news_batch(spark, sf).where("id <> 0"), co.upsert_news)
+    return stored.read().select("id", "title", "type", "is_hidden")
+
+
 @query("m6_upsert_report", f"""
 SELECT CASE WHEN COALESCE(id, 0) = 0 THEN 'skipped' WHEN id >= 1000000 THEN 'imported' ELSE 'updated' END AS outcome, count(*) AS n FROM ({BATCH}) GROUP BY 1""")
 def _(spark, sf):
@@ -195,6 +207,18 @@ def _(spark, sf):
     return co.insert_if_absent(d, b, "paper_number", "doc_id").select("paper_number", "doc_id")
 
 
+@query("m9_stored_insert", """
+WITH b AS (SELECT concat('p', doc_id // 2, CASE WHEN doc_id % 3 = 0 THEN 'x' ELSE '' END) AS paper_number, doc_id FROM documents),
+d AS (SELECT concat('p', doc_id // 2) AS paper_number, min(doc_id) AS doc_id FROM documents GROUP BY 1)
+SELECT * FROM d UNION ALL SELECT paper_number, min(doc_id) FROM b WHERE paper_number NOT IN (SELECT paper_number FROM d) GROUP BY paper_number""")
+def _(spark, sf):
+    d, b = paper_batch(spark, sf)
+    stored = KeyedTable(spark, scratch_dir(spark, "papers"), ["paper_number"], d.schema, buckets=8)
+    stored.insert_new(d, "doc_id")
+    stored.insert_new(b, "doc_id")
+    return stored.read().select("paper_number", "doc_id")
+
+
 @query("m9_insert_report", """
 WITH b AS (SELECT concat('p', doc_id // 2, CASE WHEN doc_id % 3 = 0 THEN 'x' ELSE '' END) AS paper_number FROM documents),
 d AS (SELECT concat('p', doc_id // 2) AS paper_number FROM documents)
@@ -227,6 +251,19 @@ def _(spark, sf):
     return replaced(spark, sf).select("package_id", "elms_id", "row_num", "sponsor")
 
 
+@query("m10_stored_replace", """
+SELECT package_id, elms_id, row_num, CASE WHEN package_id % 2 = 0 THEN sponsor + 1000 ELSE sponsor END AS sponsor FROM (
+  SELECT l_orderkey AS package_id, CAST(l_partkey % 7 AS VARCHAR) AS elms_id, l_linenumber AS row_num, l_suppkey AS sponsor,
+         row_number() OVER (PARTITION BY l_orderkey, l_partkey % 7 ORDER BY l_linenumber DESC, l_suppkey DESC) AS rn FROM lineitem) WHERE rn = 1""")
+def _(spark, sf):
+    old = package_items(spark, sf)
+    stored = KeyedTable(spark, scratch_dir(spark, "items"), ["package_id", "elms_id"], old.schema, buckets=8)
+    last = F.struct("row_num", "sponsor")
+    stored.upsert(old, last)
+    stored.upsert(old.where("package_id % 2 = 0").withColumn("sponsor", F.col("sponsor") + 1000), last)
+    return stored.read().select("package_id", "elms_id", "row_num", "sponsor")
+
+
 @query("m10_packages", f"""
 SELECT o_orderkey AS id, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS meeting_date, COALESCE(n, 0) AS item_count, n IS NOT NULL AS processed
 FROM orders LEFT JOIN (SELECT package_id, count(*) AS n FROM ({REPLACED}) GROUP BY 1) r ON r.package_id = o_orderkey

@@ -11,6 +11,7 @@ from minutebook.plans.registry import query
 from minutebook.plans.text_queries import DONATIONS_SQL, donation_rows, items
 from minutebook.session import scratch_dir
 from minutebook.sources import documents as docs, meetings as mt, reports as rp
+from minutebook.sources.keyed import KeyedTable, KeyViolation
 
 
 @query("s1_read_meetings", """
@@ -194,6 +195,36 @@ def _(spark, sf):
     return found
 
 
+@query("s10_keyed_upserts", """
+SELECT l_orderkey AS id, l_linenumber AS line, CASE WHEN l_orderkey % 64 = 2 THEN l_partkey + 5 WHEN l_orderkey % 32 = 1 THEN 0 ELSE l_partkey END AS part
+FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey DESC) AS rn FROM lineitem) WHERE rn = 1 AND l_orderkey % 64 <> 3""")
+def _(spark, sf):
+    """Two rounds of upserts and one of deletes; a change with repeated keys between them leaves no trace."""
+    rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"))
+    stored = KeyedTable(spark, scratch_dir(spark, "keyed"), ["id", "line"], rows.schema, buckets=8)
+    stored.upsert(rows, "part")
+    stored.upsert(rows.where("id % 32 = 1").withColumn("part", F.lit(0).cast(rows.schema["part"].dataType)))
+    try:
+        stored.change(rows.where("id % 64 = 2"), lambda old, new: old.unionByName(new).unionByName(new))
+        raise AssertionError("repeated keys were stored")
+    except KeyViolation:
+        pass
+    stored.upsert(rows.where("id % 64 = 2").withColumn("part", F.col("part") + 5), "part")
+    stored.delete(rows.where("id % 64 = 3"))
+    return stored.read()
+
+
+@query("s10_schema_versions", """
+SELECT doc_id, lang, CASE WHEN doc_id % 3 = 0 THEN n_chars END AS n_chars, CASE WHEN doc_id % 3 = 0 THEN source END AS source FROM documents""")
+def _(spark, sf):
+    d, root = table(spark, sf, "documents"), scratch_dir(spark, "versions")
+    first = d.select("doc_id", "lang")
+    KeyedTable(spark, root, ["doc_id"], first.schema, buckets=8).upsert(first)
+    later = d.where("doc_id % 3 = 0").select("doc_id", "lang", "n_chars", "source")
+    KeyedTable(spark, root, ["doc_id"], later.schema).upsert(later)
+    return KeyedTable(spark, root, ["doc_id"], later.schema).read()
+
+
 @query("s11_write_values", "SELECT DISTINCT number AS value FROM legis_items")
 def _(spark, sf):
     base = scratch_dir(spark, "values")

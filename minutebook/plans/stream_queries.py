@@ -8,6 +8,7 @@ from minutebook.plans.fixtures import fixture, table
 from minutebook.plans.registry import query
 from minutebook.session import scratch_dir
 from minutebook.sources import meetings as mt
+from minutebook.sources.keyed import KeyedTable
 from minutebook.streaming import ingest as ig
 
 EVENT = "event_id long, ts timestamp, event_type string, value double"
@@ -59,6 +60,19 @@ def _(spark, sf):
     return target.read().select("id", "title", F.lit(True).alias("stored"))
 
 
+@query("i3_keyed_upsert_stream", """
+SELECT user_id AS id, arg_max(event_type, (ts, event_id)) AS title, max(event_id) >= 0 AS stored FROM events WHERE user_id IS NOT NULL GROUP BY user_id""")
+def _(spark, sf):
+    base = scratch_dir(spark, "upserts")
+    arrive(table(spark, sf, "events").select(F.col("user_id").alias("id"), F.col("event_type").alias("title"),
+                                             F.struct("ts", "event_id").alias("seq")), "seq.ts", base + "/in")
+    stream = (spark.readStream.schema("id long, title string, seq struct<ts:timestamp,event_id:long>")
+              .option("maxFilesPerTrigger", 1).parquet(base + "/in"))
+    target = KeyedTable(spark, base + "/out", ["id"], stream.schema, buckets=4)
+    ig.upsert_keyed_stream(stream, target, "seq", base + "/cp")
+    return target.read().select("id", "title", F.lit(True).alias("stored"))
+
+
 @query("i4_rollup_stream", """
 SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2""")
 def _(spark, sf):

@@ -14,6 +14,7 @@ from pyspark.sql.types import StructType
 from pyspark.sql.utils import AnalysisException
 
 from minutebook import schemas
+from minutebook.sources.keyed import KeyedTable
 from minutebook.sources.meetings import explode_items
 
 
@@ -81,7 +82,7 @@ class DeltaTable:
         return smaller
 
 
-def _source(spark: SparkSession, checkpoint: str) -> str:
+def stream_source(spark: SparkSession, checkpoint: str) -> str:
     """The id that Spark gave the query when its checkpoint was made."""
     kept = spark.read.schema("id string").json(f"{checkpoint.rstrip('/')}/metadata").first()
     return kept["id"]
@@ -90,7 +91,7 @@ def _source(spark: SparkSession, checkpoint: str) -> str:
 def _append(stream: DataFrame, table: DeltaTable, checkpoint: str,
             prepare: Callable[[DataFrame], DataFrame]) -> None:
     def write(batch: DataFrame, batch_id: int) -> None:
-        table.write(prepare(batch), _source(batch.sparkSession, checkpoint), batch_id)
+        table.write(prepare(batch), stream_source(batch.sparkSession, checkpoint), batch_id)
     run(stream.writeStream.foreachBatch(write), checkpoint)
 
 
@@ -110,6 +111,17 @@ def upsert_stream(stream: DataFrame, table: DeltaTable, checkpoint: str, seq: st
         .agg(F.max_by(F.struct(*rest), seq).alias("_new")).select("id", "_new.*")))
 
 
+def upsert_keyed_stream(stream: DataFrame, table: KeyedTable, order: str, checkpoint: str) -> None:
+    """Keep a keyed table current: of each key the row of highest ``order``; rows without a complete key are skipped.
+
+    A batch rewrites the buckets it touches and no others, reading costs the
+    same however many batches there were, and a repeated batch changes nothing.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        table.keep_newest(batch.dropna(subset=table.key), order, source=stream_source(batch.sparkSession, checkpoint), batch_id=batch_id)
+    run(stream.writeStream.foreachBatch(write), checkpoint)
+
+
 def rollup_stream(stream: DataFrame, ts: str, keys: list[str], width: str, late: str,
                   target: str, checkpoint: str) -> None:
     """Counts per tumbling window and key, appended once the watermark has passed."""
@@ -150,7 +162,7 @@ def skip_seen_stream(stream: DataFrame, table: DeltaTable, key: str, checkpoint:
     spark = stream.sparkSession
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        source = _source(spark, checkpoint)
+        source = stream_source(spark, checkpoint)
         own = (F.col("source") == source) & (F.col("batch") >= batch_id)
         one = batch.groupBy(key).agg(F.min(F.struct(*rest)).alias("_r")).select(key, "_r.*")
         table.write(one.join(table.deltas().where(~own).select(key), key, "left_anti"), source, batch_id)
