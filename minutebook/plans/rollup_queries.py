@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from minutebook.functions import legislation as leg, sponsors as sp
 from minutebook.operators import joins, ranking, reports, rollups, sets
 from minutebook.operators import dedupe as dd
+from minutebook.operators.examples import pair_examples
 from minutebook.operators.pairs import duplicate_pair_report
 from minutebook.plans.fixtures import fixture, lit, table
 from minutebook.plans.registry import query
@@ -142,6 +143,19 @@ def _(spark, sf):
         .withColumn("pairs", F.col("pairs").cast("long"))
 
 
+@query("w3_pair_examples", f"""
+WITH p AS (
+  SELECT a.source AS number, a.doc_id AS a, b.doc_id AS b, a.text = b.text AS same_text, a.lang = b.lang AS same_lang,
+         {sql_difference('a.text', 'b.text')} AS dt, {sql_difference('a.lang', 'b.lang')} AS dl
+  FROM docs_variants a JOIN docs_variants b ON a.source = b.source AND a.doc_id < b.doc_id)
+SELECT name, CAST(row_number() OVER (PARTITION BY name ORDER BY number, a, b) AS INT) AS sample_no, number, a, b FROM (
+  SELECT *, CASE WHEN same_text AND same_lang THEN 'no_differences' WHEN same_lang THEN concat('text_', dt)
+    WHEN same_text THEN concat('lang_', dl) ELSE 'multiple_fields' END AS name FROM p)
+QUALIFY sample_no <= 3""")
+def _(spark, sf):
+    return pair_examples(fixture(spark, sf, "docs_variants"), "source", ["text", "lang"], "doc_id")
+
+
 @query("j12_calendar_years", """
 SELECT y.year // 10 * 10 AS decade, y.year, count(m.date) AS meetings, count(m.date) > 0 AS available
 FROM (SELECT unnest(range(min(CAST(substr(date, 1, 4) AS INT)) // 10 * 10, max(CAST(substr(date, 1, 4) AS INT)) // 10 * 10 + 10)) AS year FROM meetings) y
