@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from minutebook.operators import fulltext as ft, search as se
+from minutebook.operators.segments import SegmentedIndex
 from minutebook.plans.fixtures import fixture, table
 from minutebook.plans.registry import query
 from minutebook.session import scratch_dir
@@ -273,6 +274,34 @@ def _(spark, sf):
     return index(spark, sf)[0].where("term = 'the'").select("doc_id", F.col("tf").cast("long").alias("tf"))
 
 
+# What is left after the batches of updated_index.
+LIVE_INDEXED = INDEXED.replace("FROM documents", "FROM documents WHERE doc_id % 13 <> 0")
+
+
+def updated_index(spark, sf):
+    """An index built of most documents, some with an old text; the rest comes later, texts change, documents go."""
+    docs = corpus(spark, sf)
+    made = SegmentedIndex(spark, scratch_dir(spark, "segments"), "doc_id", FIELDS, fan=3)
+    old = F.when(F.col("doc_id") % 7 == 0, F.lit("the old text of the paper")).otherwise(F.col("text"))
+    made.apply(docs.where("doc_id % 10 <> 0").withColumn("text", old))
+    made.apply(docs.where("doc_id % 10 = 0 OR doc_id % 7 = 0"))
+    made.apply(docs.where("doc_id % 17 = 0").withColumn("text", F.lit("for a while")), deleted=docs.where("doc_id % 13 = 0"))
+    made.apply(docs.where("doc_id % 17 = 0 AND doc_id % 13 <> 0"), deleted=docs.where("doc_id % 13 = 0"))
+    return made
+
+
+@query("x1_updated_index", f"""
+WITH {LIVE_INDEXED}
+SELECT term, count(*) AS df, sum(tf) AS tf, min(first) AS first FROM (
+  SELECT doc_id, term, count(*) AS tf, min(i) AS first FROM (
+    SELECT doc_id, unnest(w) AS term, unnest(range(len(w))) AS i FROM ix
+    UNION ALL SELECT doc_id, unnest(t), unnest(range(len(t))) + 4294967296 FROM ix) GROUP BY doc_id, term)
+GROUP BY term""")
+def _(spark, sf):
+    return updated_index(spark, sf).postings().groupBy("term").agg(
+        F.count("*").alias("df"), F.sum("tf").alias("tf"), F.min(F.array_min("positions")).alias("first"))
+
+
 def sql_word_hits(word: str, prefix: bool = False) -> str:
     test = f"starts_with(x, '{word}')" if prefix else f"x = '{word}'"
     return f"len(list_filter(w, lambda x: {test})) + len(list_filter(t, lambda x: {test}))"
@@ -330,6 +359,12 @@ def _(spark, sf):
     return ranked.orderBy(F.col("score").desc(), "doc_id").limit(10)
 
 
+@query("x1_updated_search", sql_bm25([sql_word_hits("the"), sql_word_hits("of")], "h0 > 0 AND h1 > 0").replace(INDEXED, LIVE_INDEXED))
+def _(spark, sf):
+    made = updated_index(spark, sf)
+    return scored(ft.search(made.postings(), made.lengths(), "the of", made.totals()))
+
+
 DATED = "CAST(DATE '1990-01-01' + CAST(doc_id % 3000 AS INT) AS VARCHAR)"
 
 
