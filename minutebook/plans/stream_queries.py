@@ -9,7 +9,8 @@ from minutebook.plans.registry import query
 from minutebook.session import scratch_dir
 from minutebook.sources import meetings as mt
 from minutebook.sources.keyed import KeyedTable
-from minutebook.streaming import ingest as ig
+from minutebook.plans.rollup_queries import flat, prepared, timeline_sql
+from minutebook.streaming import ingest as ig, live
 
 EVENT = "event_id long, ts timestamp, event_type string, value double"
 
@@ -114,3 +115,58 @@ def _(spark, sf):
     target = ig.DeltaTable(spark, base + "/out", stream.schema, ig.first_by_key("id", ["seen"]))
     ig.skip_seen_stream(stream, target, "id", base + "/cp")
     return target.read()
+
+
+@query("i1_ingest_ledger", """
+SELECT date, count(*) AS items, CAST(sum(id) AS BIGINT) AS ids FROM legis_items GROUP BY date
+UNION ALL SELECT DISTINCT CAST(CAST(o_orderdate AS DATE) + INTERVAL 40 YEAR AS DATE)::VARCHAR, 0, 0 FROM orders""")
+def _(spark, sf):
+    """Days with and without items, and what came of each."""
+    base = scratch_dir(spark, "ledger")
+    source = fixture(spark, sf, "legis_items")
+    mt.write_meetings(source, base + "/in")
+    empty = table(spark, sf, "orders").select(F.add_months(F.to_date("o_orderdate"), 480).cast("string").alias("date")).distinct()
+    empty.select("date", F.array().cast("array<struct<id:long>>").alias("data")).coalesce(2).write.mode("append").json(base + "/in/empty")
+    store = live.MeetingStore(spark, base + "/out")
+    live.ingest_meetings(spark, base + "/in", store, base + "/cp", files_per_batch=20, lines=True)
+    ids = store.items.read().groupBy("date").agg(F.sum("id").alias("ids"), F.count("*").alias("stored"))
+    days = store.days.read().join(ids, "date", "left")
+    return days.where(F.col("items") == F.coalesce("stored", F.lit(0))).select("date", "items", F.coalesce("ids", F.lit(0)).alias("ids"))
+
+
+@query("i1_stream_rejects", "SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 4 = 1")
+def _(spark, sf):
+    """Every fourth record is cut off; whole ones are stored, the others are rejects."""
+    base = scratch_dir(spark, "rejects")
+    whole = F.to_json(F.struct(F.to_date("o_orderdate").cast("string").alias("date"), F.array(F.struct(F.col("o_orderkey").alias("id"))).alias("data")))
+    rows = table(spark, sf, "orders").select(F.when(F.col("o_orderkey") % 4 == 1, F.concat(F.lit("x"), F.col("o_orderkey").cast("string"), F.lit("{")))
+                                             .otherwise(whole).alias("value"))
+    # Records and remnants alike under the name of JSON files.
+    rows.repartition(3).write.option("extension", "json").csv(base + "/in", sep="\t", quote="", escapeQuotes=False)
+    store = live.MeetingStore(spark, base + "/out")
+    live.ingest_meetings(spark, base + "/in", store, base + "/cp", files_per_batch=1, lines=True)
+    return store.rejects.read().select(F.regexp_extract("_corrupt", r"^x(\d+)", 1).cast("long").alias("id"))
+
+
+@query("i4_update_stream", timeline_sql(4))
+def _(spark, sf):
+    """The roll-up of all items as they arrive, oldest days not first; the second half comes after a restart."""
+    base = scratch_dir(spark, "timeline")
+    rows = prepared(spark, sf).select("id", "date", "category", "type_name")
+    kind = "id long, date string, category string, type_name string"
+    target = live.timeline_table(spark, base + "/out")
+    for half in (0, 1):
+        rows.where(F.col("id") % 2 == half).repartition(2).write.mode("append").parquet(base + "/in")
+        stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(base + "/in")
+        live.timeline_stream(stream, target, base + "/cp")
+    return live.timeline_of(target).withColumn("actions", flat("actions")).withColumn("types", flat("types"))
+
+
+@query("i5_store_unseen", "SELECT user_id AS id, min(event_id) AS event_id FROM events WHERE user_id IS NOT NULL GROUP BY user_id")
+def _(spark, sf):
+    base = scratch_dir(spark, "unseen")
+    arrive(table(spark, sf, "events").select(F.col("user_id").alias("id"), "event_id", "ts"), "ts", base + "/in")
+    stream = spark.readStream.schema("id long, event_id long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(base + "/in")
+    target = KeyedTable(spark, base + "/out", ["id"], stream.schema, buckets=8)
+    live.store_unseen(stream, target, base + "/cp", "event_id")
+    return target.read().select("id", "event_id")

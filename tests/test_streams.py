@@ -47,7 +47,7 @@ def test_upserts_survive_restart_and_second_stream(spark, tmp_path):
     assert rows(target) == [(1, "A"), (2, "b"), (3, "d"), (4, "e")]
     # A repeated batch replaces its own rows only.
     again = spark.createDataFrame([(4, "e", 1), (1, "A", 9)], NEWS + ", seq long")
-    target.write(again, ig._source(spark, str(tmp_path / "cp2")), 0)
+    target.write(again, ig.stream_source(spark, str(tmp_path / "cp2")), 0)
     assert rows(target) == [(1, "A"), (2, "b"), (3, "d"), (4, "e")]
     assert rows(target.compact(str(tmp_path / "small"))) == rows(target)
 
