@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from minutebook.functions.text import any_of, extract, rx, strip, title_case
+from minutebook.functions.text import HOME, any_of, extract, for_city, rx, strip, title_case
 
 # --- fixed values: donation wording -----------------------------------------
 SKIP = (
@@ -80,13 +80,14 @@ def mentions_donation(description: Column) -> Column:
     return F.contains(F.lower(description), F.lit("donat"))
 
 
-def donation_direction(description: Column, compat: bool = False) -> Column:
+def donation_direction(description: Column, compat: bool = False, city: str = HOME) -> Column:
     """'accepted', 'made' or NULL.
 
     ``compat`` keeps the three accept patterns that ask for the bare word
     DONAT and therefore never match.
     """
     accept = [p.replace(r"DONAT\w*\b", r"DONAT\b") for p in ACCEPT] if compat else ACCEPT
+    accept = for_city(accept, city)
     accepted, made = _found(description, accept), _found(description, MADE)
     return F.when(mentions_donation(description) & ~_found(description, SKIP), (
         F.when(accepted & made,
@@ -110,9 +111,10 @@ def donor(description: Column) -> Column:
     return _bound(_party(raw), lambda name: F.when(F.length(name) > 2, title_case(name)))
 
 
-def recipient(description: Column) -> Column:
+def recipient(description: Column, city: str = HOME) -> Column:
+    own = for_city(NOT_RECIPIENTS, city, pattern=False)
     return _bound(_party(extract(description, rx(RECIPIENT, True))), lambda name: F.when(
-        (F.length(name) >= 3) & ~F.upper(name).isin(*NOT_RECIPIENTS), title_case(name)))
+        (F.length(name) >= 3) & ~F.upper(name).isin(*own), title_case(name)))
 
 
 def purpose(description: Column) -> Column:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from minutebook.functions.text import any_of, extract, strip
+from minutebook.functions.text import HOME, any_of, extract, for_city, strip
 
 # --- fixed values: codes, keywords, endings and patterns of the records -----
 TYPE_NAMES = {
@@ -88,8 +88,9 @@ def pdf_stem(url: Column) -> Column:
     return F.lower(F.replace(F.substring_index(path, "/", -1), F.lit(".pdf"), F.lit("")))
 
 
-def is_charter_amendment(description: Column) -> Column:
-    return F.coalesce(F.contains(F.upper(description), F.lit(CHARTER_PHRASE)), F.lit(False))
+def is_charter_amendment(description: Column, city: str = HOME) -> Column:
+    phrase = for_city(CHARTER_PHRASE, city, pattern=False)
+    return F.coalesce(F.contains(F.upper(description), F.lit(phrase)), F.lit(False))
 
 
 def _keyword_ending(tail: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from minutebook.functions.text import extract, strip
+from minutebook.functions.text import HOME, extract, for_city, strip
 
 # --- fixed values: boilerplate of the releases ------------------------------
 HEADERS = (
@@ -30,9 +30,9 @@ NEWS_TYPES = ("News Release", "Media Advisory", "Unknown")
 # ----------------------------------------------------------------------------
 
 
-def strip_boilerplate(text: Column) -> Column:
+def strip_boilerplate(text: Column, city: str = HOME) -> Column:
     out = F.coalesce(text, F.lit(""))
-    for pattern in HEADERS + FOOTERS:
+    for pattern in for_city(HEADERS + FOOTERS, city):
         out = F.regexp_replace(out, "(?smUd)" + pattern, "")
     return strip(F.regexp_replace(out, r"\n{3,}", "\n\n"))
 
@@ -43,9 +43,9 @@ def _last_index(c: Column, piece: str) -> Column:
     return F.when(back == 0, -1).otherwise(F.length(c) - back - len(piece) + 1)
 
 
-def preview(text: Column, n: int = 300) -> Column:
+def preview(text: Column, n: int = 300, city: str = HOME) -> Column:
     """Cleaned text cut at the last sentence past 60 % of ``n``, else at a word."""
-    clean = strip_boilerplate(text)
+    clean = strip_boilerplate(text, city)
     head = F.substring(clean, 1, n)
     sentence, word = _last_index(head, ". "), _last_index(head, " ")
     return (F.when(F.length(clean) <= n, clean)

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from minutebook.functions.money import DOLLAR_SIGN, FIGURE, to_money
-from minutebook.functions.text import extract, rx, strip, title_case
+from minutebook.functions.text import HOME, extract, for_city, rx, strip, title_case
 
 # --- fixed values: settlement wording ---------------------------------------
 DAMAGE = r"^FOR\s+(.+?)\s+ALLEGED\s+TO\s+HAVE"
@@ -77,13 +77,13 @@ def individual_claim(d: Column) -> dict[str, Column]:
     }
 
 
-def court_settlement(d: Column) -> dict[str, Column]:
-    plaintiff = title_case(strip(extract(d, rx(PLAINTIFF, True))))
+def court_settlement(d: Column, city: str = HOME) -> dict[str, Column]:
+    plaintiff = title_case(strip(extract(d, rx(for_city(PLAINTIFF, city), True))))
     total = F.regexp_extract(d, TOTAL_AMOUNT, 1)
     figure = F.when(total != "", total).otherwise(F.regexp_extract(d, DOLLAR_SIGN, 1))
     return {
         "plaintiff": plaintiff,
-        "case_name": F.concat(plaintiff, F.lit(CASE_TITLE)),
+        "case_name": F.concat(plaintiff, F.lit(for_city(CASE_TITLE, city, pattern=False))),
         "case_number": extract(d, rx(CASE_NUMBER, True)),
         "court": title_case(strip(extract(d, rx(COURT, True)))),
         "amount": to_money(figure),

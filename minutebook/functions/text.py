@@ -7,6 +7,7 @@ all of Unicode and ``d`` lets only a line feed end a line.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -47,6 +48,17 @@ def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
+HOME = "Atlanta"  # the city whose name stands in the fixed wordings
+
+
+def for_city(wording, city: str = HOME, pattern: bool = True):
+    """A wording, or each of several, with the name of another city; as a pattern the name is taken literally."""
+    if not isinstance(wording, str):
+        return tuple(for_city(w, city, pattern) for w in wording)
+    name = (lambda n: re.escape(n)) if pattern else (lambda n: n)
+    return wording if city == HOME else wording.replace(HOME.upper(), name(city.upper())).replace(HOME, name(city))
+
+
 def fold_quotes_lower(c: Column) -> Column:
     return F.translate(F.lower(c), *SEARCH_FOLD)
 

@@ -12,6 +12,7 @@ from minutebook.functions import legislation as leg
 from minutebook.functions import settlements as stl
 from minutebook.functions.claims import claim_type, is_claim
 from minutebook.functions.money import dollar_amount
+from minutebook.functions.text import HOME
 from minutebook.operators.joins import with_share
 
 # --- fixed values: words and patterns the reports look for ------------------
@@ -50,17 +51,17 @@ def _common(items: DataFrame) -> list[Column]:
     ]
 
 
-def parse_donations(items: DataFrame, compat: bool = False) -> DataFrame:
-    """One row per donation with the columns of the donation report."""
+def parse_donations(items: DataFrame, compat: bool = False, city: str = HOME) -> DataFrame:
+    """One row per donation to or by the ``city``, with the columns of the donation report."""
     d = F.col("description")
     found = (items.where(don.mentions_donation(d))
-             .withColumn("donation_direction", don.donation_direction(d, compat))
+             .withColumn("donation_direction", don.donation_direction(d, compat, city))
              .where(F.col("donation_direction").isNotNull()))
     accepted = F.col("donation_direction") == "accepted"
     return (found.select(*_common(found), "donation_direction",
                          dollar_amount(d).alias("amount"),
                          F.when(accepted, don.donor(d)).alias("donor"),
-                         F.when(~accepted, don.recipient(d)).alias("recipient"),
+                         F.when(~accepted, don.recipient(d, city)).alias("recipient"),
                          don.item_donated(d).alias("item_donated"),
                          don.purpose(d).alias("purpose"))
             .withColumn("donation_type", don.donation_type(d, F.col("item_donated")))
@@ -71,7 +72,7 @@ def tag_claims(items: DataFrame, action: str = "finalAction") -> DataFrame:
     return items.withColumn("claimType", F.when(is_claim(F.col("description")), claim_type(F.col(action))))
 
 
-def parse_settlements(items: DataFrame) -> DataFrame:
+def parse_settlements(items: DataFrame, city: str = HOME) -> DataFrame:
     """Individual claims (tagged as settled) and court settlements (untagged,
     mentioning a settlement amount) in one table."""
     tag = F.lower(F.coalesce("claimType", F.lit("")))
@@ -87,7 +88,7 @@ def parse_settlements(items: DataFrame) -> DataFrame:
 
     individual = branch(items.where(tag == "settlement"), "individual_claim", stl.individual_claim(d))
     court = branch(items.where((tag == "") & F.contains(F.upper(d), F.lit(stl.COURT_PHRASE))),
-                   "court_litigation", stl.court_settlement(d))
+                   "court_litigation", stl.court_settlement(d, city))
     return individual.unionByName(court)
 
 

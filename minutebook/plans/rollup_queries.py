@@ -606,14 +606,15 @@ def _(spark, sf):
 
 
 @query("w6_failure_cutoff", """
-SELECT min(event_id) AS cutoff_id FROM (
-  SELECT event_id, sum(CAST(event_type = 'error' AS INT)) OVER (ORDER BY event_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS run
-  FROM events WHERE event_id % 5 <> 2)
+SELECT min(id) AS cutoff_id FROM (
+  SELECT event_id * 4 + coalesce(user_id, 0) % 4 AS id,
+         sum(CAST(event_type = 'error' AS INT)) OVER (ORDER BY event_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS run
+  FROM events)
 WHERE run = 4""")
 def _(spark, sf):
-    # Ids with gaps: a run of misses goes on over ids that were never tried.
-    tries = table(spark, sf, "events").where("event_id % 5 <> 2").select(
-        F.col("event_id").alias("id"), (F.col("event_type") == "error").alias("miss"))
+    # Every event is a try, at ids with gaps: a run of misses goes on over ids that were never tried.
+    tries = table(spark, sf, "events").select(
+        F.expr("event_id * 4 + coalesce(user_id, 0) % 4").alias("id"), (F.col("event_type") == "error").alias("miss"))
     return ranking.failure_cutoff(tries, 4, bucket=1000)
 
 

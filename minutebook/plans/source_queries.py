@@ -62,12 +62,17 @@ def _(spark, sf):
                       F.col("char_count").cast("long").alias("char_count"), "doc_id")
 
 
-@query("s4_read_text_files", "SELECT sum(length(text) + 1) AS char_count FROM documents")
+@query("s4_read_text_files", """
+SELECT concat('lang=', lang) AS folder, md5(line) AS line, count(*) AS n
+FROM (SELECT lang, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY 1, 2""")
 def _(spark, sf):
-    # Every file is read whole; their size is bounded by their number of lines.
+    """Every line of every file, by the folder of the file."""
+    # Every file is read whole; their size is bounded by their number of records.
     path = scratch_dir(spark, "texts")
-    table(spark, sf, "documents").select(F.col("text").alias("value")).write.option("maxRecordsPerFile", 200).text(path)
-    return docs.read_text_corpus(spark, path).agg(F.sum("char_count").alias("char_count"))
+    table(spark, sf, "documents").select("lang", F.col("text").alias("value")).write.option("maxRecordsPerFile", 200).partitionBy("lang").text(path)
+    lines = F.split(F.regexp_replace("text", "\\n$", ""), "\n", -1)
+    return (docs.read_text_corpus(spark, path).select("folder", F.explode(lines).alias("line"))
+            .groupBy("folder", F.md5("line").alias("line")).agg(F.count("*").alias("n")))
 
 
 @query("s5_read_api_docs", """SELECT id % 40 AS doc_id, count(*) AS n, min(number) AS first_number FROM legis_items GROUP BY 1""")

@@ -24,11 +24,12 @@ def clean_corpus(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def read_text_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """One row per text file: file stem, text, character count."""
+    """One row per text file: file stem, name of its folder, text, character count."""
     raw = (spark.read.option("pathGlobFilter", "*.txt").option("recursiveFileLookup", True)
            .text(path, wholetext=True))
     stem = F.regexp_replace(F.col("_metadata.file_name"), r"\.txt$", "")
-    return clean_corpus(raw.select(stem.alias("stem"), F.col("value").alias("text")))
+    folder = F.regexp_extract(F.col("_metadata.file_path"), "/([^/]*)/[^/]*$", 1)
+    return clean_corpus(raw.select(stem.alias("stem"), folder.alias("folder"), F.col("value").alias("text")))
 
 
 def skipped_ocr_docs(corpus: DataFrame, manifest: DataFrame, key: str = "stem") -> DataFrame:
