@@ -48,9 +48,6 @@ def op2_sentence_rules(spark: SparkSession, sf: str) -> DataFrame:
     return licenses.scan_licenses(load(spark, sf, "documents"))
 
 
-ORACLES["op2_sentence_rules"] = licenses.oracle()
-
-
 @query
 def op3_factorization_machine(spark: SparkSession, sf: str) -> DataFrame:
     return quality.score_quality(load(spark, sf, "documents"), load(spark, sf, "labels"))

@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from minutebook.llm import chat, licenses, queries, topk, vectors
+from minutebook.llm import chat, queries, topk, vectors
 from minutebook.llm.common import components
 
 
@@ -162,22 +162,6 @@ def test_preference_pairs_by_hand(spark):
     assert chat.preference_pairs(chosen, chat.with_other_answer(chosen)).count() == 4
 
 
-def test_licenses_by_hand(spark):
-    apache = ("// Licensed under the Apache License, Version 2.0 (the \"License\");\n// you may not use this file except in compliance with the License.\n"
-              "# You may obtain a copy of the License at\n")
-    rows = [(1, apache), (2, None), (3, ""), (4, "Nothing here. At all."), (5, "All rights reserved.\nReleased under the MIT Licence. Released under the MIT License."),
-            (6, "Some license of ours."), (7, "word " * 50_000 + "Licensed under CC BY-NC 4.0."), (7, "Copyright 2020 Me.\nAll rights reserved."),
-            (None, "Permission is hereby granted, free of charge, to any person obtaining a copy. The above copyright notice and this permission "
-                   "notice shall be included in all copies. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND. In no event shall the authors pay.")]
-    table = spark.createDataFrame(rows, "doc_id long, text string").withColumn("names", F.lit(1)).withColumn("s0", F.lit(2))
-    got = sorted(((r.doc_id or 0, r.licenses, r.sentences, r.unmatched) for r in licenses.scan_licenses(table).collect()))
-    assert got == sorted([
-        (1, "Apache-2.0", "apache-ref;apache-comply;apache-copy;", ""), (2, "", "", ""), (3, "", "", ""), (4, "", "", ""),
-        (5, "MIT,Proprietary", "all-rights;mit-ref;mit-ref;", ""), (6, "", "other;", "other;"), (7, "CC-BY-NC", "cc-by-nc;", ""),
-        (7, "Proprietary", "copyright;all-rights;", ""), (0, "MIT", "mit-grant;mit-notice;asis;liability;", "")])
-    assert licenses.scan_licenses(table.limit(0)).count() == 0
-
-
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_queries_equal_sql(spark, name):
     folder, db = "/root/testdata/sf0.001", duckdb.connect()
