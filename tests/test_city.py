@@ -5,7 +5,7 @@ from minutebook.functions.text import for_city
 
 
 def test_wordings_follow_the_city(values):
-    for city, other in (("Atlanta", "Fort Worth"), ("Fort Worth", "Atlanta")):
+    for city, other in (("Atlanta", "Savannah"), ("Savannah", "Atlanta")):
         up = city.upper()
         charter = f"An ordinance to amend the charter of the City of {city} again"
         assert values(lambda c: leg.is_charter_amendment(c, city), charter, charter.replace(city, other)) == [True, False]
