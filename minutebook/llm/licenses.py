@@ -130,7 +130,7 @@ MARK = re.compile(r"^[ \t]*(?:/\*+|\*+/|\*+|//+|#+|--+|;+|>+|%+|<!--|\.\.|(?i:re
 MARK_END = re.compile(r"[ \t]*(?:\*+/|-->|\*+|#+)?[ \t\r]*$")
 STOP = re.compile(r"(?<!\bv)[.!?]+(?=[\s\"')\]]|$)|[;:]?$")
 WORD = re.compile(r"[^\W_]+(?:\.\d+)*")
-LIST_MARK = re.compile(r"^(?:\(?(?:\d{1,2}|[a-z])[.)]|[-*o•])[ \t]+")
+LIST_MARK = re.compile(r"^(?:\(?(?:\d{1,2}|[a-uw-z])[.)]|[-*o•])[ \t]+")
 RIGHTS = re.compile(SPEAKS_OF_RIGHTS, re.IGNORECASE)
 
 
