@@ -347,10 +347,11 @@ def snippet(df: DataFrame, text: str, span: int = 40, left: str = "<mark>", righ
     pieces = F.regexp_extract_all(F.col(text), F.lit(rf"({WORD}[^\p{{L}}\p{{N}}]*)"))
     own = F.filter("marks", lambda m: m["pos"] < FIELD_GAP)
     df = (df.withColumn("_w", pieces)
-          .withColumn("_open", F.transform(own, lambda m: m["pos"].cast("int")))
+          .withColumn("_open", F.array_sort(F.array_distinct(F.transform(own, lambda m: m["pos"].cast("int")))))
           .withColumn("_close", F.transform(own, lambda m: (m["pos"] + m["len"] - 1).cast("int"))))
-    weight = F.transform("_open", lambda p: F.struct(
-        F.size(F.filter("_open", lambda q: (q >= p) & (q < p + span))).alias("n"), (-p).alias("at")))
+    # The hits are sorted and differ, so those of a window are among the next ``span`` ones.
+    weight = F.transform("_open", lambda p, i: F.struct(
+        F.size(F.filter(F.slice("_open", i + 1, span), lambda q: q < p + span)).alias("n"), (-p).alias("at")))
     best = F.coalesce(-F.array_max(weight)["at"], F.lit(0))
     # Stay inside the text when the best hit is near its end.
     start = F.greatest(F.lit(0), F.least(best, F.size("_w") - span))

@@ -387,7 +387,27 @@ def _(spark, sf):
     return found.agg(F.count("*").alias("total"))
 
 
-@query("x5_snippet")
+SNIPPETS = f"""
+WITH best AS ({{best}}), hits AS (
+  SELECT doc_id, regexp_extract_all(text, '[\\p{{{{L}}}}\\p{{{{N}}}}]+[^\\p{{{{L}}}}\\p{{{{N}}}}]*') AS pieces,
+    list_filter(range(0, len(w)), lambda i: w[i + 1] = 'of' AND w[i + 2] = 'the') AS phrases, list_filter(range(0, len(w)), lambda i: w[i + 1] = 'and') AS ands
+  FROM (SELECT doc_id, text, {DOC_TOKENS.replace("{", "{{").replace("}", "}}")} AS w FROM documents) JOIN best USING (doc_id)
+), placed AS (
+  SELECT *, list_sort(list_distinct(phrases || ands)) AS opens, list_transform(phrases, lambda p: p + 1) || ands AS closes FROM hits
+), chosen AS (
+  SELECT *, greatest(0, least(coalesce(-list_max(list_transform(opens, lambda p: {{{{'n': len(list_filter(opens, lambda q: q >= p AND q < p + 40)), 'at': -p}}}})).at, 0),
+                              len(pieces) - 40)) AS first FROM placed
+)
+SELECT doc_id, concat(CASE WHEN first > 0 THEN '...' ELSE '' END,
+  rtrim(array_to_string(list_transform(range(first, least(first + 40, len(pieces))), lambda i: concat(
+    CASE WHEN list_contains(opens, i) THEN '<mark>' ELSE '' END, regexp_extract(pieces[i + 1], '^[\\p{{{{L}}}}\\p{{{{N}}}}]+'),
+    CASE WHEN list_contains(closes, i) THEN '</mark>' ELSE '' END,
+    substr(pieces[i + 1], length(regexp_extract(pieces[i + 1], '^[\\p{{{{L}}}}\\p{{{{N}}}}]+')) + 1))), '')),
+  CASE WHEN first + 40 < len(pieces) THEN '...' ELSE '' END) AS snippet FROM chosen"""
+BEST = sql_bm25([sql_phrase_hits("of", "the"), sql_word_hits("and")], "h0 > 0 AND h1 > 0", "ORDER BY score DESC, doc_id LIMIT 50")
+
+
+@query("x5_snippet", SNIPPETS.format(best=BEST))
 def _(spark, sf):
     docs = corpus(spark, sf)
     found = ft.search_documents(*index(spark, sf), docs, '"of the" and', size=50)
