@@ -13,6 +13,7 @@ from minutebook.functions import settlements as stl
 from minutebook.functions.claims import claim_type, is_claim
 from minutebook.functions.money import dollar_amount
 from minutebook.functions.text import HOME
+from minutebook.operators.tables import materialize
 from minutebook.operators.joins import with_share
 
 # --- fixed values: words and patterns the reports look for ------------------
@@ -299,19 +300,47 @@ def ocr_outcomes(runs: DataFrame) -> DataFrame:
                     F.count_if(F.col("status") == "success").alias("successful"))
 
 
-def changes(before: DataFrame, after: DataFrame, columns: list[str], id_col: str = "id") -> DataFrame:
-    """One row per changed value: id, column, old, new (the dry run of any correction)."""
-    old = before.select(id_col, *[F.col(c).cast("string").alias(f"_o{i}") for i, c in enumerate(columns)])
-    new = after.select(id_col, *[F.col(c).cast("string").alias(f"_n{i}") for i, c in enumerate(columns)])
+def _bucket(id_col: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(id_col), F.lit(buckets))
+
+
+def changed_buckets(before: DataFrame, after: DataFrame, columns: list[str], id_col: str = "id", buckets: int = 1024) -> DataFrame:
+    """Buckets of ids in which the two tables differ: at most ``buckets`` rows.
+
+    A bucket's digest is its number of rows and the sums of two 64-bit hashes
+    of their id and columns, added up where the rows lie; no row travels.
+    """
+    cells = [x for c in columns for x in (F.col(c).cast("string"), F.col(c).isNull())]
+
+    def digests(df: DataFrame, side: str) -> DataFrame:
+        total = lambda seed: F.sum(F.xxhash64(F.lit(seed), id_col, *cells).cast("decimal(38,0)"))
+        return df.groupBy(_bucket(id_col, buckets).alias("_bucket")).agg(F.struct(F.count("*"), total(1), total(2)).alias(side))
+
+    both = digests(before, "old").join(digests(after, "new"), "_bucket", "full_outer")
+    return both.where(~F.col("old").eqNullSafe(F.col("new"))).select("_bucket")
+
+
+def changes(before: DataFrame, after: DataFrame, columns: list[str], id_col: str = "id", buckets: int = 1024) -> DataFrame:
+    """One row per changed value: id, column, old, new (the dry run of any correction).
+
+    Digests of the buckets are compared first; only rows of buckets that
+    differ are joined, so what did not change costs one digest and no exchange.
+    """
+    differ = F.broadcast(materialize(changed_buckets(before, after, columns, id_col, buckets), "differing"))  # a number for each bucket
+
+    def side(df: DataFrame, mark: str) -> DataFrame:
+        some = df.withColumn("_bucket", _bucket(id_col, buckets)).join(differ, "_bucket", "left_semi")
+        return some.select(id_col, *[F.col(c).cast("string").alias(f"{mark}{i}") for i, c in enumerate(columns)])
+
     cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"_o{i}").alias("old"),
                                F.col(f"_n{i}").alias("new")) for i, c in enumerate(columns)])
-    return (old.join(new, id_col, "full_outer").select(id_col, F.inline(cells))
+    return (side(before, "_o").join(side(after, "_n"), id_col, "full_outer").select(id_col, F.inline(cells))
             .where(~F.col("old").eqNullSafe(F.col("new"))))
 
 
-def change_report(before: DataFrame, after: DataFrame, columns: list[str], id_col: str = "id") -> DataFrame:
+def change_report(before: DataFrame, after: DataFrame, columns: list[str], id_col: str = "id", buckets: int = 1024) -> DataFrame:
     """(column, rows changed) plus ``checked`` and ``changed`` totals."""
-    rows = changes(before, after, columns, id_col)
+    rows = materialize(changes(before, after, columns, id_col, buckets), "changes")
     per = rows.groupBy("column").agg(F.count("*").alias("n"))
     touched = rows.agg(F.countDistinct(id_col).alias("n")).select(F.lit("(changed rows)").alias("column"), "n")
     checked = before.agg(F.count("*").alias("n")).select(F.lit("(checked rows)").alias("column"), "n")
