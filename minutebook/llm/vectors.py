@@ -24,7 +24,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from minutebook.llm.common import components, materialize, partitions, ship
@@ -230,9 +230,9 @@ def _window_links(nodes: DataFrame, plans: DataFrame, cosine: float) -> DataFram
     ordered = materialize(hashed.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).select(
         "label", "dim", "pass", "node", F.shiftright(number, 33).alias("part"), number.bitwiseAND(F.lit((1 << 33) - 1)).alias("row")), "ordered")
     # One number for each range partition.
-    sizes = ordered.groupBy("part").agg(F.count("*").alias("n")).withColumnRenamed("part", "other")
-    here = sizes.select(F.col("other").alias("part"))
-    before = (here.join(sizes, F.col("other") < F.col("part"), "left").groupBy("part").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("before")))
+    sizes = ordered.groupBy("part").agg(F.count("*").alias("n"))
+    earlier = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    before = sizes.select("part", F.coalesce(earlier, F.lit(0)).alias("before"))
     placed = (ordered.join(F.broadcast(before), "part").join(plans.select("label", "dim", "window"), ["label", "dim"])
               .withColumn("pos", F.col("before") + F.col("row")).withColumn("unit", F.expr(f"pos div {UNIT}")))
     early = F.col("pos") % UNIT < F.col("window")
