@@ -33,15 +33,24 @@ def page_ranges(bookmarks: DataFrame, totals: DataFrame | None = None) -> DataFr
 
 
 def group_lines(lines: DataFrame, doc: str, pos: str, line: str,
-                start: str = r"^\d+\s+\d{5}\s+") -> DataFrame:
+                start: str = r"^\d+\s+\d{5}\s+", chunk: int = 10_000) -> DataFrame:
     """Join every line that opens a record with the lines that follow it.
 
-    Lines before the first opening line are dropped.  Work is split by document.
+    Lines before the first opening line are dropped; ``pos`` is a whole number.
+    Lines are numbered inside chunks of ``chunk`` positions, and each chunk
+    starts from the number of records opened before it, so a document of any
+    length is spread over tasks and a record may run over the borders of chunks.
     """
     text = strip(F.col(line))
-    opens = text.rlike(start)
-    w = Window.partitionBy(doc).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
-    return (lines.select(doc, pos, text.alias("_t"), F.sum(F.when(opens, 1).otherwise(0)).over(w).alias("record"))
+    opens = F.when(text.rlike(start), 1).otherwise(0)
+    rows = lines.select(doc, pos, text.alias("_t"), opens.alias("_o"), F.floor(F.col(pos) / chunk).alias("_chunk"))
+    sums = rows.groupBy(doc, "_chunk").agg(F.sum("_o").alias("_n"))
+    before = Window.partitionBy(doc).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = sums.select(F.col(doc).alias("_d"), F.col("_chunk").alias("_c"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_carried"))
+    w = Window.partitionBy(doc, "_chunk").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
+    return (rows.withColumn("_own", F.sum("_o").over(w))
+            .join(carried, F.col(doc).eqNullSafe(F.col("_d")) & (F.col("_chunk") == F.col("_c")))
+            .select(doc, pos, "_t", (F.col("_carried") + F.col("_own")).alias("record"))
             .where((F.col("record") > 0) & (F.col("_t") != ""))
             .groupBy(doc, "record")
             .agg(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col("_t").alias("t")))).alias("_l"))
