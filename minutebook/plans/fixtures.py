@@ -71,7 +71,7 @@ SELECT event_id AS id, ts, event_type AS type,
        CASE WHEN event_id % 11 = 0 THEN 1 WHEN event_id % 5 = 0 THEN NULL ELSE 0 END AS is_hidden, props AS content
 FROM {events}""",
     "run_log": """
-SELECT CONCAT('2024-01-01 00:00:00 | ID ', LPAD(CAST(event_id AS STRING), 6, '0'), ' | ', event_type, ' | msg') AS value
+SELECT CONCAT('2024-01-01 00:00:00 | ID ', LPAD(CAST(event_id AS STRING), GREATEST(6, LENGTH(CAST(event_id AS STRING))), '0'), ' | ', event_type, ' | msg') AS value
 FROM {events}""",
     "bookmarks": """
 SELECT l_orderkey AS package_id, l_linenumber AS seq, MIN(l_linenumber * 3) AS page_start
