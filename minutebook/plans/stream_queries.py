@@ -15,11 +15,17 @@ from minutebook.streaming import ingest as ig, live
 EVENT = "event_id long, ts timestamp, event_type string, value double"
 
 
-def arrive(df, day: str, path: str, parts: int = 4) -> str:
-    """Write the rows as groups of files that arrive one after the other, oldest first."""
+def arrivals(df, day: str, path: str, parts: int = 4):
+    """Write the rows as groups of files, oldest first; stops after each group."""
     slot = F.least(F.floor((F.dayofmonth(day) - 1) / 8), F.lit(parts - 1))
     for k in range(parts):
         df.where(slot == k).write.mode("append").parquet(path)
+        yield k
+
+
+def arrive(df, day: str, path: str, parts: int = 4) -> str:
+    """Write the rows as groups of files that arrive one after the other, oldest first."""
+    list(arrivals(df, day, path, parts))
     return path
 
 
@@ -91,8 +97,10 @@ SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*)
 WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY 1, 2""")
 def _(spark, sf):
     base = scratch_dir(spark, "windows")
-    stream = event_stream(spark, event_files(spark, sf))
-    ig.rollup_stream(stream, "ts", ["event_type"], "1 day", "1 hour", base + "/out", base + "/cp")
+    # The files of a group cover the same days in no order, so a group makes one batch: file by file, most would come too late.
+    for _ in arrivals(table(spark, sf, "events").select("event_id", "ts", "event_type", "value"), "ts", base + "/in"):
+        stream = spark.readStream.schema(EVENT).parquet(base + "/in")
+        ig.rollup_stream(stream, "ts", ["event_type"], "1 day", "1 hour", base + "/out", base + "/cp")
     return spark.read.parquet(base + "/out").select(F.date_format("period", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
@@ -100,9 +108,10 @@ def _(spark, sf):
 def _(spark, sf):
     base = scratch_dir(spark, "dedupe")
     e = table(spark, sf, "events").select("event_id", "ts", "event_type", "value")
-    # Every event is delivered twice.
-    arrive(e.unionByName(e), "ts", base + "/in")
-    ig.dedupe_stream(event_stream(spark, base + "/in"), ["event_id"], "ts", "2 days", base + "/out", base + "/cp")
+    # Every event is delivered twice. A group makes one batch, as its files cover the same days in no order.
+    for _ in arrivals(e.unionByName(e), "ts", base + "/in"):
+        stream = spark.readStream.schema(EVENT).parquet(base + "/in")
+        ig.dedupe_stream(stream, ["event_id"], "ts", "2 days", base + "/out", base + "/cp")
     return spark.read.parquet(base + "/out").select("event_id", "event_type")
 
 
