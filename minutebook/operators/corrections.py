@@ -119,11 +119,15 @@ NEWS_CONTENT = ("title", "url", "date", "content_text", "content_html", "scraped
 
 
 def upsert_news(base: DataFrame, batch: DataFrame, fields=NEWS_CONTENT) -> DataFrame:
-    """Insert rows or overwrite the content fields by id; other columns survive."""
+    """Insert rows or overwrite the content fields by id; other columns survive.
+
+    Of several rows with one id the highest ``seq`` counts, of equal ones the
+    greatest content.
+    """
     fields = [f for f in fields if f in base.columns and f in batch.columns]
     valid = batch.where(F.coalesce("id", F.lit(0)) != 0)
     order = F.col("seq") if "seq" in batch.columns else F.lit(0)
-    new = valid.groupBy("id").agg(F.max_by(F.struct(*fields), order).alias("_new"))
+    new = valid.groupBy("id").agg(F.max_by(F.struct(*fields), F.struct(order, *fields)).alias("_new"))
     joined = base.withColumn("_old", F.lit(True)).join(new, "id", "full_outer")
     return joined.select([
         F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c)

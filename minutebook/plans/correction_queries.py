@@ -106,7 +106,9 @@ def _(spark, sf):
     return co.delete_rows(donation_rows(spark, sf), fixture(spark, sf, "patches")).select("id", "number")
 
 
-BATCH = "SELECT id, concat('new ', type) AS title, content FROM news WHERE id % 3 = 0 UNION ALL SELECT id + 1000000, type, content FROM news WHERE id % 100 = 0 UNION ALL SELECT NULL, type, content FROM news WHERE id % 100 = 1"
+BATCH = "SELECT id, concat('new ', type) AS title, content, 0 AS seq FROM news WHERE id % 3 = 0 UNION ALL SELECT id + 1000000, type, content, 1 FROM news WHERE id % 100 = 0 UNION ALL SELECT NULL, type, content, 1 FROM news WHERE id % 100 = 1"
+# Of rows with one id the last counts.
+LAST_OF_BATCH = f"SELECT * FROM ({BATCH}) WHERE id IS NOT NULL AND id <> 0 QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1"
 
 
 def base_news(spark, sf):
@@ -119,19 +121,19 @@ def news_batch(spark, sf):
     one = n.where("id % 3 = 0").select("id", F.concat(F.lit("new "), "type").alias("title"), "content_text")
     two = n.where("id % 100 = 0").select((F.col("id") + 1000000).alias("id"), F.col("type").alias("title"), "content_text")
     none = n.where("id % 100 = 1").select(F.lit(None).cast("long").alias("id"), F.col("type").alias("title"), "content_text")
-    return one.unionByName(two).unionByName(none)
+    return one.withColumn("seq", F.lit(0)).unionByName(two.unionByName(none).withColumn("seq", F.lit(1)))
 
 
 @query("m6_upsert_news", f"""
 SELECT COALESCE(n.id, b.id) AS id, CASE WHEN b.id IS NOT NULL AND b.id <> 0 THEN b.title ELSE n.type END AS title, n.type, n.is_hidden
-FROM news n FULL OUTER JOIN (SELECT * FROM ({BATCH}) WHERE id IS NOT NULL AND id <> 0) b ON b.id = n.id""")
+FROM news n FULL OUTER JOIN ({LAST_OF_BATCH}) b ON b.id = n.id""")
 def _(spark, sf):
     return co.upsert_news(base_news(spark, sf), news_batch(spark, sf)).select("id", "title", "type", "is_hidden")
 
 
 @query("m6_stored_upsert", f"""
 SELECT COALESCE(n.id, b.id) AS id, CASE WHEN b.id IS NOT NULL AND b.id <> 0 THEN b.title ELSE n.type END AS title, n.type, n.is_hidden
-FROM (SELECT * FROM news WHERE id <> 0) n FULL OUTER JOIN (SELECT * FROM ({BATCH}) WHERE id IS NOT NULL AND id <> 0) b ON b.id = n.id""")
+FROM (SELECT * FROM news WHERE id <> 0) n FULL OUTER JOIN ({LAST_OF_BATCH}) b ON b.id = n.id""")
 def _(spark, sf):
     base = base_news(spark, sf).where("id <> 0")
     stored = KeyedTable(spark, scratch_dir(spark, "news"), ["id"], base.schema, buckets=8)
@@ -141,7 +143,8 @@ def _(spark, sf):
 
 
 @query("m6_upsert_report", f"""
-SELECT CASE WHEN COALESCE(id, 0) = 0 THEN 'skipped' WHEN id >= 1000000 THEN 'imported' ELSE 'updated' END AS outcome, count(*) AS n FROM ({BATCH}) GROUP BY 1""")
+SELECT CASE WHEN COALESCE(id, 0) = 0 THEN 'skipped' WHEN id NOT IN (SELECT id FROM news) AND place = 1 THEN 'imported' ELSE 'updated' END AS outcome, count(*) AS n
+FROM (SELECT id, row_number() OVER (PARTITION BY id ORDER BY seq) AS place FROM ({BATCH})) GROUP BY 1""")
 def _(spark, sf):
     return co.upsert_report(base_news(spark, sf), news_batch(spark, sf))
 
