@@ -707,13 +707,13 @@ def new_news(spark, sf):
         n.where("id % 50 = 0").withColumn("id", F.col("id") + 1000000))
 
 
-@query("u2_keyed_union", f"SELECT * FROM ({NEW_NEWS}) UNION ALL SELECT id, type FROM news WHERE id % 3 <> 0")
+@query("u2_keyed_union", f"SELECT * FROM ({NEW_NEWS}) UNION ALL SELECT id, type FROM news WHERE id NOT IN (SELECT id FROM ({NEW_NEWS}))")
 def _(spark, sf):
     return sets.keyed_union(fixture(spark, sf, "news").select("id", "type"), new_news(spark, sf))
 
 
 @query("u2_keyed_union_report", f"""
-SELECT CASE WHEN id >= 1000000 THEN 'new' ELSE 'updated' END AS outcome, count(*) AS n FROM ({NEW_NEWS}) GROUP BY 1""")
+SELECT CASE WHEN id IN (SELECT id FROM news) THEN 'updated' ELSE 'new' END AS outcome, count(*) AS n FROM ({NEW_NEWS}) GROUP BY 1""")
 def _(spark, sf):
     return sets.keyed_union_report(fixture(spark, sf, "news"), new_news(spark, sf))
 
