@@ -272,7 +272,8 @@ def _(spark, sf):
 @query("j2_corpus_metadata", """
 SELECT t.stem, i.number AS legislation_number, i.date AS legislation_date, i.type_name AS legislation_type, i."finalAction" AS final_action
 FROM (SELECT lower(replace(number, '-', '')) AS stem FROM legis_items UNION ALL SELECT concat('none', id) FROM legis_items WHERE tail(id)) t
-LEFT JOIN items i ON lower(replace(i.number, '-', '')) = t.stem""".replace("WHERE tail(id)", "WHERE id % 10 = 3"))
+LEFT JOIN (SELECT * FROM items QUALIFY row_number() OVER (PARTITION BY lower(replace(number, '-', '')) ORDER BY date, id) = 1) i
+  ON lower(replace(i.number, '-', '')) = t.stem""".replace("WHERE tail(id)", "WHERE id % 10 = 3"))
 def _(spark, sf):
     base = items(spark, sf).withColumn("pdfUrl", F.concat(
         F.lit("https://files.example.org/a/"), F.replace("number", F.lit("-"), F.lit("")), F.lit(".pdf")))
