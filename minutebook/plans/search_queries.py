@@ -312,8 +312,8 @@ def sql_phrase_hits(a: str, b: str) -> str:
         f"len(list_filter(range(1, len({c})), lambda i: {c}[i] = '{a}' AND {c}[i + 1] = '{b}'))" for c in ("w", "t"))
 
 
-def sql_bm25(hits: list[str], where: str, tail: str = "", extra: str = "") -> str:
-    """BM25 written out over word lists."""
+def sql_bm25(hits: list[str], where: str, tail: str = "", extra: str = "", exact: str = "") -> str:
+    """BM25 written out over word lists; ``exact`` names the score before it is rounded."""
     cols = ", ".join(f"{h} AS h{i}" for i, h in enumerate(hits))
     dfs = ", ".join(f"sum(CAST(h{i} > 0 AS INT)) AS d{i}" for i in range(len(hits)))
     score = " + ".join(
@@ -322,7 +322,7 @@ def sql_bm25(hits: list[str], where: str, tail: str = "", extra: str = "") -> st
     return f"""
 WITH {INDEXED}, hit AS (SELECT doc_id, lang, source, len(w) + len(t) AS size, {cols} FROM ix),
 freq AS (SELECT {dfs} FROM hit),
-ranked AS (SELECT doc_id, lang, source, round({score}, 6) AS score FROM hit, freq, stat WHERE {where})
+ranked AS (SELECT doc_id, lang, source, {f"{score} AS {exact}, " if exact else ""}round({score}, 6) AS score FROM hit, freq, stat WHERE {where})
 SELECT doc_id, score{extra} FROM ranked {tail}"""
 
 
@@ -369,8 +369,8 @@ DATED = "CAST(DATE '1990-01-01' + CAST(doc_id % 3000 AS INT) AS VARCHAR)"
 
 
 @query("x4_filtered_page", sql_bm25([sql_word_hits("and")], "h0 > 0 AND lang = 'en'",
-       f"WHERE {DATED} >= '1990-01-20' AND {DATED} <= '1992-06-30' ORDER BY legislation_date DESC, score DESC, doc_id LIMIT 25 OFFSET 25",
-       f", {DATED} AS legislation_date"))
+       f"WHERE {DATED} >= '1990-01-20' AND {DATED} <= '1992-06-30' ORDER BY legislation_date DESC, exact DESC, doc_id LIMIT 25 OFFSET 25",
+       f", {DATED} AS legislation_date", "exact"))
 def _(spark, sf):
     found = ft.filtered(searched(spark, sf, "and"), corpus(spark, sf).drop("text"),
                         "1990-01-20", "1992-06-30", "en")
@@ -404,7 +404,7 @@ SELECT doc_id, concat(CASE WHEN first > 0 THEN '...' ELSE '' END,
     CASE WHEN list_contains(closes, i) THEN '</mark>' ELSE '' END,
     substr(pieces[i + 1], length(regexp_extract(pieces[i + 1], '^[\\p{{{{L}}}}\\p{{{{N}}}}]+')) + 1))), '')),
   CASE WHEN first + 40 < len(pieces) THEN '...' ELSE '' END) AS snippet FROM chosen"""
-BEST = sql_bm25([sql_phrase_hits("of", "the"), sql_word_hits("and")], "h0 > 0 AND h1 > 0", "ORDER BY score DESC, doc_id LIMIT 50")
+BEST = sql_bm25([sql_phrase_hits("of", "the"), sql_word_hits("and")], "h0 > 0 AND h1 > 0", "ORDER BY exact DESC, doc_id LIMIT 50", exact="exact")
 
 
 @query("x5_snippet", SNIPPETS.format(best=BEST))
