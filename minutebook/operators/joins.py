@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from minutebook.functions.legislation import pdf_stem
@@ -71,23 +71,29 @@ def tenure_meetings(terms: DataFrame, meetings: DataFrame) -> DataFrame:
     """Meetings within any term of a member, each counted once; terms as
     President do not count and members without a meeting show 0.
 
-    Terms are cut into calendar years, which turns the interval condition into
-    an equality on the year plus a check within it.  Neither side has to be
-    broadcast and no nested loop is needed.
+    Terms that overlap are merged and cut into calendar years; each year brings
+    its list of days, so a term makes a row a year and none for a meeting.
+    Neither side has to be broadcast and no nested loop is needed.
     """
-    days = meetings.select("date").distinct().withColumn("year", F.substring("date", 1, 4).try_cast("int"))
-    last = days.agg(F.max("date")).scalar()
+    year = F.substring("date", 1, 4).try_cast("int")
+    days = meetings.groupBy(year.alias("year")).agg(F.collect_set("date").alias("_days"))  # the days of one year at most
+    last = meetings.agg(F.max("date")).scalar()
     counted = terms.where((F.coalesce("office", F.lit("")) != "President")
                           & (F.coalesce("start_date", F.lit("")) != ""))
     spans = counted.select("name", "start_date",
                            F.coalesce("end_date", F.greatest(last, F.col("start_date"))).alias("stop"))
     first_y = F.substring("start_date", 1, 4).try_cast("int")
     last_y = F.substring("stop", 1, 4).try_cast("int")
-    years = (spans.where(last_y >= first_y)
-             .select("name", "start_date", "stop", F.explode(F.sequence(first_y, last_y)).alias("year")))
-    held = (years.join(days, "year")
-            .where((F.col("date") >= F.col("start_date")) & (F.col("date") <= F.col("stop")))
-            .groupBy("name").agg(F.countDistinct("date").alias("_m")))
+    spans = spans.where((last_y >= first_y) & (F.col("start_date") <= F.col("stop"))).distinct()
+    # A term that starts after the end of all earlier ones opens a new span.
+    w = Window.partitionBy("name").orderBy("start_date", "stop")
+    before = F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    merged = (spans.withColumn("_new", F.coalesce(F.col("start_date") > before, F.lit(True)).cast("int"))
+              .withColumn("_span", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+              .groupBy("name", "_span").agg(F.min("start_date").alias("start_date"), F.max("stop").alias("stop")))
+    years = merged.select("name", "start_date", "stop", F.explode(F.sequence(first_y, last_y)).alias("year"))
+    inside = F.size(F.filter("_days", lambda d: (d >= F.col("start_date")) & (d <= F.col("stop"))))
+    held = years.join(days, "year").groupBy("name").agg(F.sum(inside).alias("_m"))
     return (terms.select("name").distinct().join(held, "name", "left")
             .select("name", F.coalesce("_m", F.lit(0)).alias("meetings_during_tenure")))
 
