@@ -24,22 +24,26 @@ def toc_records(text: Column) -> Column:
 
 
 def toc_row(record: Column) -> Column:
-    """Struct of the seven parts of a record, NULL where it has another layout."""
-    pattern = rx(RECORD, True)
-    split = F.split(
-        F.regexp_replace(record, pattern, SEPARATOR.join(f"${i}" for i in range(1, 8))),
-        SEPARATOR, -1)
-
-    def part(i: int) -> Column:
-        return F.get(split, F.lit(i))
-
-    row = F.struct(
-        part(0).try_cast("int").alias("row"),
-        part(1).alias("elms_id"),
-        F.regexp_replace(part(2), r"\s+", "").alias("leg_id"),
-        part(3).alias("sponsor"),
-        strip(part(4)).alias("description"),
-        part(5).alias("leg_type"),
-        strip(part(6)).alias("committee"),
-    )
-    return F.when(record.rlike(pattern), row)
+    """Struct of the seven parts of a record, NULL where it has another layout.
+
+    The layout is matched once a record: what it leaves begins with a
+    separator, so a record that is left as it was has another layout.
+    """
+    parted = F.regexp_replace(record, rx(RECORD, True), "".join(f"{SEPARATOR}${i}" for i in range(1, 8)))
+    split = F.transform(F.array(parted), lambda s: F.when(s != record, F.split(s, SEPARATOR, -1)))
+
+    def row(parts: Column) -> Column:
+        def part(i: int) -> Column:
+            return F.get(parts, F.lit(i + 1))
+
+        return F.struct(
+            part(0).try_cast("int").alias("row"),
+            part(1).alias("elms_id"),
+            F.regexp_replace(part(2), r"\s+", "").alias("leg_id"),
+            part(3).alias("sponsor"),
+            strip(part(4)).alias("description"),
+            part(5).alias("leg_type"),
+            strip(part(6)).alias("committee"),
+        )
+
+    return F.get(F.transform(split, lambda parts: F.when(parts.isNotNull(), row(parts))), F.lit(0))
