@@ -57,8 +57,9 @@ SELECT CASE WHEN doc_id % 10 = 0 THEN '' ELSE md5(text) END AS body,
 def _(spark, sf):
     marked = table(spark, sf, "documents").withColumn(
         "text", F.when(F.col("doc_id") % 10 == 0, F.lit(" # PDF already contains searchable text\n")).otherwise(F.col("text")))
-    out = docs.clean_corpus(marked.select("doc_id", "text"))
-    return out.select(F.when(F.col("text") == "", "").otherwise(F.md5("text")).alias("body"),
+    out = docs.clean_corpus(marked.select("doc_id", "text", F.length("text").alias("size")))
+    # A text that was empty from the start is a text like any other; '' stands for a blanked placeholder only.
+    return out.select(F.when((F.col("text") == "") & (F.col("size") > 0), "").otherwise(F.md5("text")).alias("body"),
                       F.col("char_count").cast("long").alias("char_count"), "doc_id")
 
 
