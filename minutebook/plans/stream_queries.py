@@ -17,7 +17,17 @@ EVENT = "event_id long, ts timestamp, event_type string, value double"
 
 def arrivals(df, day: str, path: str, parts: int = 4):
     """Write the rows as groups of files, oldest first; stops after each group."""
-    slot = F.least(F.floor((F.dayofmonth(day) - 1) / 8), F.lit(parts - 1))
+    return groups(df, F.floor((F.dayofmonth(day) - 1) / 8), path, parts)
+
+
+def arrivals_by_id(df, key: str, path: str, parts: int = 4):
+    """Write the rows as groups of files, each a range of the ids, lowest first, then rows without one; stops after each group."""
+    low, high = df.agg(F.min(key), F.max(key)).first()
+    return groups(df, F.floor((F.col(key) - F.lit(low)) * parts / (F.lit(high) - F.lit(low) + 1)), path, parts)
+
+
+def groups(df, slot, path: str, parts: int):
+    slot = F.least(slot, F.lit(parts - 1))
     for k in range(parts):
         df.where(slot == k).write.mode("append").parquet(path)
         yield k
@@ -174,8 +184,10 @@ def _(spark, sf):
 @query("i5_store_unseen", "SELECT user_id AS id, min(event_id) AS event_id FROM events WHERE user_id IS NOT NULL GROUP BY user_id")
 def _(spark, sf):
     base = scratch_dir(spark, "unseen")
-    arrive(table(spark, sf, "events").select(F.col("user_id").alias("id"), "event_id", "ts"), "ts", base + "/in")
-    stream = spark.readStream.schema("id long, event_id long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(base + "/in")
-    target = KeyedTable(spark, base + "/out", ["id"], stream.schema, buckets=8)
-    live.store_unseen(stream, target, base + "/cp", "event_id")
+    rows = table(spark, sf, "events").select(F.col("user_id").alias("id"), "event_id", "ts")
+    target = KeyedTable(spark, base + "/out", ["id"], rows.schema, buckets=8)
+    # What is stored first stays, so events arrive in the order of their ids; a group's files have no order and make one batch.
+    for _ in arrivals_by_id(rows, "event_id", base + "/in"):
+        stream = spark.readStream.schema("id long, event_id long, ts timestamp").parquet(base + "/in")
+        live.store_unseen(stream, target, base + "/cp", "event_id")
     return target.read().select("id", "event_id")
